@@ -1,0 +1,179 @@
+"""Queries for findings: insights, matches, links and the final ranking."""
+
+from pyspark.sql import functions as F
+
+from gleaner.catalog import query, table
+from gleaner.catalog.tables import EVENT_MEASURES, EVENTS_SQL, events
+from gleaner.functions import labels
+from gleaner.operators import anomalies, fusion, groups, insights, keywords, matching, profile, ranking, trends
+from gleaner.plans.links import global_ranking, link_findings
+from gleaner.plans.tables import analyse_table
+from gleaner.plans.texts import analyse_corpus, analyse_documents
+
+DEPTH = 5
+
+
+def _number(x, decimals, grouped=False, signed=False):
+    return f"format('{{:{'+' if signed else ''}{',' if grouped else ''}.{decimals}f}}', {x})"
+
+
+LABEL_SQL = "array_to_string(list_transform(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: upper(t[1]) || t[2:]), ' ')"
+
+
+def label_sql(x):
+    return LABEL_SQL.format(x=x)
+
+
+STATS_SQL = "stats_long as (" + " union all ".join(f"""
+ select {i} as ordinal, '{c}' as c, avg({c}) as mean, stddev_pop({c}) as std, coalesce(skewness({c}), 0) as skew,
+  min({c})::double as lo, max({c})::double as hi, 100.0 * (count(*) - count({c})) / count(*) as missing from marked"""
+    for i, c in enumerate(EVENT_MEASURES)) + ")"
+
+DATA_SQL = f"""{EVENTS_SQL}, {STATS_SQL},
+labelled as (select *, {label_sql('c')} as label, abs(std / nullif(mean, 0)) as cv from stats_long),
+series as ({" union all ".join(f"select {i} as o, '{c}' as c, date_trunc('day', ts)::timestamp as x, sum({c})::double as y from marked group by all" for i, c in enumerate(EVENT_MEASURES))}),
+indexed as (select *, row_number() over (partition by c order by x) - 1 as idx from series),
+fitted as (select o, c, {label_sql('c')} as label, regr_slope(y, idx) as slope,
+  100 * (arg_max(y, x) - arg_min(y, x)) / nullif(abs(arg_min(y, x)), 0) as pct from indexed group by o, c),
+moved as (select *, case when pct > 3 then 'rising' when pct < -3 then 'falling' when slope > 0 then 'rising' when slope < 0 then 'falling' else 'stable' end as direction from fitted),
+flags as (select count(*) filter (z_value > 3 or z_accepted > 3 or z_user_id > 3) as n, count(*) filter (z_value > 3) as n0,
+  count(*) filter (z_accepted > 3) as n1, count(*) filter (z_user_id > 3) as n2 from scored),
+flag_list as (select n, list_filter([('Value', n0), ('Accepted', n1), ('User Id', n2)], lambda f: f[2] > 0) as f from flags),
+leaders as ({" union all ".join(f"select {i} as o, '{c}' as c, event_type as g, sum({c})::double as total, count({c}) as n from marked group by event_type" for i, c in enumerate(EVENT_MEASURES))}),
+first_leaders as (select *, {label_sql('c')} as label from leaders qualify row_number() over (partition by o order by total desc, g) = 1),
+found as (
+ select 0 + ordinal * 3 as ordinal, label || ' Distribution' as title,
+  label || ' is heavily ' || case when skew > 0 then 'right' else 'left' end || '-skewed (skew=' || {_number('skew', 2)} || '), meaning most records cluster around '
+  || case when skew > 0 then 'lower' else 'higher' end || ' values while a ' || case when skew > 0 then 'higher-value' else 'lower-value' end || ' tail pulls the average '
+  || case when skew > 0 then 'upward' else 'downward' end || ' — typical of uneven distribution patterns such as seasonal spikes or outlier transactions.' as description,
+  least(0.95, 0.60 + abs(skew) * 0.10) as score,
+  ['Skewness: ' || {_number('skew', 2)}, 'Mean: ' || {_number('mean', 2, True)}, 'Std: ' || {_number('std', 2, True)}] as evidence, 'data' as source
+  from labelled where abs(skew) >= 1
+ union all select ordinal * 3 + 1, label || ' Variability', label || ' shows high relative variability (coefficient of variation = ' || {_number('cv', 2)}
+  || '), indicating inconsistent performance across records. This level of spread can signal structural differences between groups or data quality issues.',
+  least(0.88, 0.55 + cv * 0.10), ['CV: ' || {_number('cv', 2)}, 'Std: ' || {_number('std', 2, True)}, 'Mean: ' || {_number('mean', 2, True)}], 'data' from labelled where cv >= 0.75
+ union all select ordinal * 3 + 2, label || ' Completeness', label || ' has ' || {_number('missing', 1)}
+  || '% missing values. This volume of missingness may bias averages and weaken downstream groupby comparisons — consider imputation or excluding this column from trend analysis.',
+  0.50 + missing / 200, ['Missing: ' || {_number('missing', 1)} || '%'], 'data' from labelled where missing >= 20
+ union all select 1000000 + o, label || ' Trend', label || ' has ' || case when direction = 'rising' then 'increased' else 'decreased' end || ' by ' || {_number('abs(pct)', 1)}
+  || '% across the observed day periods (linear slope = ' || {_number('slope', 3, signed=True)} || ' per day). This sustained '
+  || case when direction = 'rising' then 'upward' else 'downward' end || ' movement suggests a structural shift rather than random fluctuation.',
+  least(0.98, 0.70 + abs(pct) / 200),
+  ['Change: ' || {_number('pct', 1, signed=True)} || '%', 'Direction: ' || direction, 'Slope: ' || {_number('slope', 4, signed=True)} || '/day'], 'data' from moved where abs(pct) >= 8
+ union all select 2000000, 'Anomalous Records Detected', 'Anomaly detection flagged ' || n || ' suspicious rows (' || n || ' by z-score threshold >3σ, 0 by Isolation Forest). '
+  || 'Strongest deviations are concentrated in: ' || case when len(f) > 0 then array_to_string(list_transform(f[1:3], lambda c: c[1]), ', ') else 'the numeric metrics' end
+  || '. These records may represent data entry errors, genuine outliers, or exceptional business events that deserve manual review.',
+  least(0.94, 0.65 + n / 200), case when len(f) > 0 then list_transform(f, lambda c: c[1] || ': ' || c[2] || ' outlier(s)') else ['Total flagged: ' || n] end, 'anomaly' from flag_list where n > 0
+ union all select 3000000 + o, 'Event Type Leader: ' || g, 'Among all Event Type groups, ''' || g || ''' leads ' || label || ' with a total of ' || {_number('total', 2, True)}
+  || ' across ' || format('{{:,}}', n) || ' records (average of ' || {_number('total / n', 2, True)} || ' per record). This concentration suggests this segment should be prioritised in resource allocation decisions.',
+  0.68, ['Total ' || label || ': ' || {_number('total', 2, True)}, 'Records: ' || format('{{:,}}', n), 'Avg per record: ' || {_number('total / n', 2, True)}], 'data' from first_leaders
+ union all select 4000000, 'Correlation: Value ↔ Accepted', 'Value and Accepted are strongly positively correlated (r = ' || {_number('r', 3)}
+  || '). This relationship suggests that changes in one metric reliably accompany changes in the other.', least(0.90, 0.55 + r * 0.40), ['Pearson r = ' || {_number('r', 3)}], 'data'
+  from (select round(corr(value, accepted), 3) as r from marked))"""
+
+
+@query("data_insights", f"""with {DATA_SQL}
+select ordinal::bigint as ordinal, title, description, round(score, 4) as score, evidence, source from found order by score desc, ordinal limit {3 * DEPTH}""")
+def data_insights(spark, folder):
+    df = events(spark, folder)
+    found = insights.data_insights(
+        profile.numeric_stats(df, EVENT_MEASURES), trends.datetime_trend(df, ["ts"], EVENT_MEASURES),
+        anomalies.anomaly_summary(df, EVENT_MEASURES), groups.groupby_tables(df, ["event_type"], EVENT_MEASURES),
+        profile.top_correlation(df, EVENT_MEASURES), DEPTH)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("text_insights")
+def text_insights(spark, folder):
+    return analyse_documents(table(spark, folder, "documents"), "doc_id", "text").insights
+
+
+@query("ranked_text_insights")
+def ranked_text_insights(spark, folder):
+    return ranking.insight_records(analyse_documents(table(spark, folder, "documents"), "doc_id", "text").ranked)
+
+
+COLUMN_NAMES = ["small_ring_price", "red_widget_count", "bolt size", "p_name", "p_brand", "l_extendedprice"]
+
+
+def _overlap_sql(c):
+    tokens = "[" + ", ".join(f"'{t}'" for t in labels.column_key(c).split()) + "]"
+    return f"len(list_intersect(list_distinct(t), {tokens})) / greatest(len(list_distinct(t)), len(list_distinct({tokens})))"
+
+
+@query("term_column_overlap", f"""with terms as (select term, list_filter(string_split(trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') as t
+  from (select distinct p_name as term from part union select distinct p_type from part)),
+scored as (select term, unnest([{", ".join(f"'{c}'" for c in COLUMN_NAMES)}]) as "column", unnest([{", ".join(_overlap_sql(c) for c in COLUMN_NAMES)}]) as score,
+  unnest(range({len(COLUMN_NAMES)})) as place from terms)
+select term, "column", round(score, 6) as score, 'overlap' as match_method from scored where score >= 0.45
+qualify row_number() over (partition by term order by score desc, place) = 1""")
+def term_column_overlap(spark, folder):
+    part = table(spark, folder, "part")
+    terms = part.select(F.col("p_name").alias("term")).union(part.select("p_type"))
+    return matching.overlap_matches(terms, COLUMN_NAMES).withColumn("score", F.round("score", 6))
+
+
+@query("term_column_match")
+def term_column_match(spark, folder):
+    docs = table(spark, folder, "documents")
+    columns = table(spark, folder, "lineitem").columns + table(spark, folder, "events").columns
+    return matching.lexical_matches(keywords.tfidf_keywords(docs, "doc_id", "text"), columns)
+
+
+@query("cosine_match", """with parts as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+means as (select label, i, avg(x) as x from parts group by all),
+dots as (select v.vec_id, m.label, sum(v.x * m.x) as d from parts v join means m using (i) group by all),
+norms as (select vec_id, sqrt(sum(x * x)) as n from parts group by all), label_norms as (select label, sqrt(sum(x * x)) as n from means group by all),
+scored as (select vec_id, d.label, coalesce(d / nullif(norms.n * label_norms.n, 0), 0) as score from dots d join norms using (vec_id) join label_norms on label_norms.label = d.label)
+select vec_id as term, 'label_' || label as "column", round(score, 5) as score, 'semantic' as match_method from scored where score >= 0.45
+qualify row_number() over (partition by vec_id order by score desc, label) = 1""")
+def cosine_match(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")) \
+        .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+    names = means.select(F.col("label").alias("position"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("column"), "vector")
+    found = matching.cosine_matches(vectors.select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector")), names)
+    return found.withColumn("score", F.round("score", 5))
+
+
+@query("cosine_similarity", """with a as (select vec_id, embedding::double[] as e from embeddings)
+select x.vec_id, round(coalesce(list_cosine_similarity(x.e, y.e), 0), 6) as cosine from a x join a y on y.vec_id = x.vec_id + 1""")
+def cosine_similarity(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return vectors.join(following, "vec_id").select(
+        "vec_id", F.round(matching.cosine_similarity(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+
+
+@query("text_direction", """with said as (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents),
+marked as (select doc_id, list_has_any(string_split(plain, ' '), ['increase', 'increased', 'increasing', 'rise', 'rising', 'growth', 'higher', 'up', 'surge',
+  'surging', 'gain', 'gained']) as up, list_has_any(string_split(plain, ' '), ['decrease', 'decreased', 'decline', 'declining', 'drop', 'dropping', 'lower',
+  'down', 'fall', 'falling', 'loss', 'reduced']) as down from said)
+select doc_id, case when up and not down then 'rising' when down and not up then 'falling' end as direction from marked""")
+def text_direction(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", labels.text_direction(F.array("text")).alias("direction"))
+
+
+def _event_table(spark, folder, forest=False):
+    return analyse_table(events(spark, folder), ["event_id"], ["event_type", "ts", "value", "accepted", "user_id"], forest=forest)
+
+
+@query("fusion_signals")
+def fusion_signals(spark, folder):
+    text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return link_findings(_event_table(spark, folder), text).signals
+
+
+@query("match_list")
+def match_list(spark, folder):
+    text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return link_findings(_event_table(spark, folder), text).matches
+
+
+@query("ranked_insights")
+def ranked_insights(spark, folder):
+    """The whole analysis: a table, a corpus, their links, one ranked list."""
+    data = _event_table(spark, folder, forest=True)
+    text = analyse_corpus(table(spark, folder, "documents"), "doc_id", "text")
+    links = link_findings(data, text)
+    return global_ranking([data.ranked, text.ranked, links.ranked])
