@@ -125,14 +125,14 @@ means as (select label, i, avg(x) as x from parts group by all),
 dots as (select v.vec_id, m.label, sum(v.x * m.x) as d from parts v join means m using (i) group by all),
 norms as (select vec_id, sqrt(sum(x * x)) as n from parts group by all), label_norms as (select label, sqrt(sum(x * x)) as n from means group by all),
 scored as (select vec_id, d.label, coalesce(d / nullif(norms.n * label_norms.n, 0), 0) as score from dots d join norms using (vec_id) join label_norms on label_norms.label = d.label)
-select vec_id as term, 'label_' || label as "column", round(score, 5) as score, 'semantic' as match_method from scored where score >= 0.45
+select vec_id as term, 'label_' || label as "column", round(score, 5) as score, 'semantic' as match_method from scored where score >= 0.1
 qualify row_number() over (partition by vec_id order by score desc, label) = 1""")
 def cosine_match(spark, folder):
     vectors = table(spark, folder, "embeddings")
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")) \
         .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
     names = means.select(F.col("label").alias("position"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("column"), "vector")
-    found = matching.cosine_matches(vectors.select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector")), names)
+    found = matching.cosine_matches(vectors.select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector")), names, threshold=0.1)
     return found.withColumn("score", F.round("score", 5))
 
 
