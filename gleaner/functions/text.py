@@ -1,6 +1,6 @@
 """Text expressions: compaction, sentences, chunks and tokens, all inside one row."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.fixed import PROSE_LETTERS, PROSE_WORDS, TOKEN_STOP_WORDS
@@ -35,18 +35,18 @@ def is_prose(text: Column) -> Column:
     return (text != "") & enough_words & (letters / F.greatest(F.length(text), F.lit(1)) >= PROSE_LETTERS)
 
 
-def raw_sentences(text: Column) -> Column:
-    """Stripped pieces after each full stop, exclamation or question mark."""
-    pieces = F.split(compact_text(text), rf"(?<=[.!?]){SPACE}+")
-    return F.transform(pieces, strip)
+def raw_sentences(text: Column, compacted: bool = False) -> Column:
+    """Pieces after each full stop, exclamation or question mark followed by white space."""
+    # The text is stripped and separators take whole runs of white space, so no piece needs stripping.
+    return F.split(text if compacted else compact_text(text), rf"(?<=[.!?]){SPACE}+")
 
 
-def sentence_split(text: Column) -> Column:
-    return F.filter(raw_sentences(text), lambda s: s.rlike(r"[\p{L}\p{N}_]"))
+def sentence_split(text: Column, compacted: bool = False) -> Column:
+    return F.filter(raw_sentences(text, compacted), lambda s: s.rlike(r"[\p{L}\p{N}_]"))
 
 
-def clean_sentences(text: Column) -> Column:
-    return F.filter(raw_sentences(text), is_prose)
+def clean_sentences(text: Column, compacted: bool = False) -> Column:
+    return F.filter(raw_sentences(text, compacted), is_prose)
 
 
 def pack_sentences(sentences: Column, size: int) -> Column:
@@ -72,16 +72,17 @@ def pack_sentences(sentences: Column, size: int) -> Column:
     return F.aggregate(sentences, start, step, finish)
 
 
-def chunk_text(text: Column, size: int) -> Column:
+def chunk_text(text: Column, size: int, compacted: bool = False) -> Column:
     """Chunk texts; a text without any sentence is one chunk, an empty text has none."""
-    whole = compact_text(text)
-    packed = F.transform(pack_sentences(sentence_split(text), size), lambda chunk: F.array_join(chunk, " "))
-    no_sentence = F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(packed) > 0, packed).otherwise(no_sentence)
+    whole = text if compacted else compact_text(text)
+    packed = F.transform(pack_sentences(sentence_split(whole, True), size), lambda chunk: F.array_join(chunk, " "))
+    any_word = whole.rlike(r"[\p{L}\p{N}_]")
+    return F.when(any_word, packed).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
 
 
-def chunk_count(text: Column, size: int) -> Column:
+def chunk_count(text: Column, size: int, compacted: bool = False) -> Column:
     """Number of chunks, folded over sentence lengths only."""
+    whole = text if compacted else compact_text(text)
     start = F.struct(F.lit(0).alias("chunks"), F.lit(0).alias("length"))
 
     def step(state: Column, sentence: Column) -> Column:
@@ -91,8 +92,8 @@ def chunk_count(text: Column, size: int) -> Column:
             (F.when(full, 0).otherwise(state["length"]) + F.length(sentence)).alias("length"),
         )
 
-    folded = F.aggregate(sentence_split(text), start, step, lambda state: state["chunks"])
-    return F.when(folded > 0, folded).otherwise((compact_text(text) != "").cast("int"))
+    folded = F.aggregate(sentence_split(whole, True), start, step, lambda state: state["chunks"])
+    return F.greatest(folded, (whole != "").cast("int"))
 
 
 def tokenise(text: Column) -> Column:
@@ -123,3 +124,17 @@ def with_bigrams(tokens: Column) -> Column:
         ),
     ).otherwise(F.array().cast("array<string>"))
     return F.concat(tokens, pairs)
+
+
+def exploded(df: DataFrame, keys: list, array: Column, position: str, name: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form keeps the optimizer from adding a "not empty" filter, which would evaluate the array's text
+    expressions a second time, and before any shuffle that spreads them.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(position, name)).where(F.col(position).isNotNull())
+
+
+def inlined(df: DataFrame, keys: list, structs: Column, field: str) -> DataFrame:
+    """One row per struct of an array; ``field`` is a struct field that is never null."""
+    return df.select(*keys, F.inline_outer(structs)).where(F.col(field).isNotNull())

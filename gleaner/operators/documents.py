@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.fixed import KEYWORD_CHUNK, SUMMARY_CHUNK
 from gleaner.functions.text import (
-    LINE_BREAK, chunk_count, chunk_text, clean_sentences, compact_text, filtered_tokens, is_prose, strip, tokenise, words,
+    LINE_BREAK, chunk_count, chunk_text, clean_sentences, compact_text, exploded, filtered_tokens, inlined, is_prose, strip, tokenise, words,
 )
 
 # Patterns of the built-in entity extractor.
@@ -21,22 +21,40 @@ ENTITY_PATTERNS = {
 }
 
 
+# Column of clean sentences that prepared documents carry.
+SENTENCES = "clean_sentences"
+
+
+def prepare_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Compact text and clean sentences per document, so that several operators split each text only once."""
+    compacted = docs.select(key, text).repartition(key).withColumn(text, compact_text(F.col(text)))
+    return compacted.withColumn(SENTENCES, clean_sentences(F.col(text), compacted=True))
+
+
+def sentences_of(docs: DataFrame, text: str) -> Column:
+    return F.col(SENTENCES) if SENTENCES in docs.columns else clean_sentences(F.col(text))
+
+
 def sentence_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per clean sentence, numbered within its document."""
-    return docs.select(key, F.posexplode(clean_sentences(F.col(text))).alias("pos", "sentence"))
+    return exploded(docs, [key], sentences_of(docs, text), "pos", "sentence")
 
 
 def text_chunks(docs: DataFrame, key: str, text: str, size: int = KEYWORD_CHUNK) -> DataFrame:
-    return docs.select(key, F.posexplode(chunk_text(F.col(text), size)).alias("chunk", "body"))
+    compacted = docs.select(key, compact_text(F.col(text)).alias("body"))
+    return exploded(compacted, [key], chunk_text(F.col("body"), size, compacted=True), "chunk", "body")
 
 
 def clean_lines(docs: DataFrame, key: str, text: str, page: str | None = None) -> DataFrame:
     """Prose lines of each page joined by blanks, pages joined by a blank line; no row without any."""
-    lines = F.transform(F.split(F.col(text), LINE_BREAK), strip)
-    body = F.array_join(F.filter(lines, is_prose), " ")
+    lines = F.filter(F.transform(F.split(F.col(text), LINE_BREAK), strip), is_prose)
+    keys = [key] if page is None else [key, page]
+    kept = docs.select(*keys, lines.alias("lines"))
+    # A page without prose lines becomes no row at all; see ``exploded`` for why this is not a filter.
+    pages = exploded(
+        kept, keys, F.when(F.size("lines") > 0, F.array(F.array_join("lines", " "))), "at", "body").drop("at")
     if page is None:
-        return docs.select(key, compact_text(body).alias("text")).where("text <> ''")
-    pages = docs.select(key, page, body.alias("body")).where("body <> ''")
+        return pages.select(key, compact_text(F.col("body")).alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct(page, "body")))
     joined = F.array_join(F.transform(ordered, lambda p: p["body"]), "\n\n")
     return pages.groupBy(key).agg(compact_text(joined).alias("text"))
@@ -45,11 +63,14 @@ def clean_lines(docs: DataFrame, key: str, text: str, page: str | None = None) -
 def text_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Word, sentence, token and chunk counts per document; ``readable`` is false without a clean sentence."""
     body = F.col("clean_text")
-    compacted = docs.select(key, compact_text(F.col(text)).alias("clean_text"))
+    carried = [SENTENCES] if SENTENCES in docs.columns else []
+    compacted = docs.select(key, compact_text(F.col(text)).alias("clean_text"), *carried)
+    clean = F.col(SENTENCES) if carried else clean_sentences(body, compacted=True)
     return compacted.select(
         key, F.length(body).alias("char_count"), F.size(words(body)).alias("word_count"),
-        F.size(clean_sentences(body)).alias("sentence_count"), F.size(tokenise(body)).alias("token_count"),
-        F.size(filtered_tokens(body)).alias("filtered_token_count"), chunk_count(body, SUMMARY_CHUNK).alias("chunk_count"),
+        F.size(clean).alias("sentence_count"), F.size(tokenise(body)).alias("token_count"),
+        F.size(filtered_tokens(body)).alias("filtered_token_count"),
+        chunk_count(body, SUMMARY_CHUNK, compacted=True).alias("chunk_count"),
     ).withColumn("readable", F.col("sentence_count") > 0)
 
 
@@ -70,7 +91,7 @@ def entity_counts(
     ``extractor`` maps a text column to an array of (text, label) structs and may wrap a language model.
     Mentions are counted before they are shuffled, and ranking keeps ``top`` rows per group in every task first.
     """
-    mentions = docs.select(*keys, F.inline(extractor(F.col(text)))).where(F.length("text") >= 2)
+    mentions = inlined(docs, keys, extractor(F.col(text)), "label").where(F.length("text") >= 2)
     counted = mentions.groupBy(*keys, "text", "label").agg(F.count(F.lit(1)).alias("count"))
     ranking = Window.partitionBy(*keys).orderBy(F.desc("count"), "text", "label")
     return counted.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= top)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from gleaner.functions.fixed import FILE_KINDS, MAX_FILE_BYTES, MISSING_CELLS, NUMBER_SHAPE, REJECT_EMPTY, REJECT_KIND, REJECT_SIZE
 from gleaner.functions.text import compact_text
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
