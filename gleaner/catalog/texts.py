@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from gleaner.catalog import query, table
 from gleaner.functions import labels
 from gleaner.functions.fixed import KEYWORD_STOP_WORDS, TOKEN_STOP_WORDS
+from gleaner.functions.storage import spread
 from gleaner.functions.text import LINE_BREAK, SPACE, normalise_whitespace
 from gleaner.operators import documents, keywords, summaries
 
 
 def docs(spark, folder):
-    # One small file holds all documents; spread them before the text work.
-    return table(spark, folder, "documents").repartition("doc_id")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def quoted(words):

@@ -24,3 +24,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a few files spread over all tasks; tables of many files are left as they are."""
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df
