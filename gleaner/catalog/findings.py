@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from gleaner.catalog import query, table
-from gleaner.catalog.tables import EVENT_MEASURES, EVENTS_SQL, events
+from gleaner.catalog.tables import EVENT_MEASURES, EVENTS_SQL, LINEITEM_TYPES, events
+from gleaner.catalog.texts import KEYWORDS_SQL, key_sql
 from gleaner.functions import labels
 from gleaner.operators import anomalies, fusion, groups, insights, keywords, matching, profile, ranking, trends
 from gleaner.plans.links import global_ranking, link_findings
@@ -113,11 +114,45 @@ def term_column_overlap(spark, folder):
     return matching.overlap_matches(terms, COLUMN_NAMES).withColumn("score", F.round("score", 6))
 
 
-@query("term_column_match")
+def lexical_sql(terms, columns):
+    """CTEs that give ``matches``: best column per distinct term of ``terms`` by token overlap or Ratcliff-Obershelp ratio.
+
+    ``runs`` holds the length of the common run that starts at each pair of equal characters; ``blocks`` splits every
+    pair of texts at its longest common run, again and again.
+    """
+    names = ", ".join(f"'{c}'" for c in columns)
+    return f"""
+term_keys as (select term, {key_sql('term')} as a from (select distinct term from {terms})),
+column_keys as (select "column", place, {key_sql('"column"')} as b from (select unnest([{names}]) as "column", unnest(range({len(columns)})) as place)),
+pairs as materialized (select row_number() over () as pair, a, b from (select distinct a, b from term_keys, column_keys where a <> '' and b <> '')),
+a_chars as (select distinct a, unnest(range(length(a))) as i from term_keys), b_chars as (select distinct b, unnest(range(length(b))) as j from column_keys),
+same as (select pair, i, j from pairs join a_chars using (a) join b_chars using (b) where pairs.a[i + 1] = pairs.b[j + 1]),
+islands as (select *, i - row_number() over (partition by pair, i - j order by i) as island from same),
+runs as materialized (select pair, i, j, max(i) over (partition by pair, i - j, island) - i + 1 as run from islands),
+blocks as (
+ select pair, 0::bigint as alo, length(a)::bigint as ahi, 0::bigint as blo, length(b)::bigint as bhi, 0::bigint as k from pairs
+ union all
+ select pair, unnest([alo, i + k]), unnest([i, ahi]), unnest([blo, j + k]), unnest([j, bhi]), unnest([k, 0]) from (
+  select pair, alo, ahi, blo, bhi, -best[1] as k, best[2] as i, best[3] as j from (
+   select s.pair, alo, ahi, blo, bhi, min([-least(run, ahi - i, bhi - j), i, j]) as best
+   from blocks s join runs r on r.pair = s.pair and i >= alo and i < ahi and j >= blo and j < bhi group by s.pair, alo, ahi, blo, bhi))),
+ratios as (select pair, 2 * sum(k) / (length(any_value(a)) + length(any_value(b))) as ratio from blocks join pairs using (pair) group by pair),
+pair_scores as (select a, b, greatest(ratio,
+  len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' '))))
+  / greatest(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' '))))) as score from ratios join pairs using (pair)),
+matches as materialized (select term, "column", score from term_keys join pair_scores using (a) join column_keys using (b) where score >= 0.45
+ qualify row_number() over (partition by term order by score desc, place) = 1)"""
+
+
+MATCH_COLUMNS = list(LINEITEM_TYPES) + ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query("term_column_match", f"""with recursive {KEYWORDS_SQL}, {lexical_sql('keywords', MATCH_COLUMNS)}
+select term, "column", round(score, 6) as score, 'difflib' as match_method from matches""")
 def term_column_match(spark, folder):
     docs = table(spark, folder, "documents")
     columns = table(spark, folder, "lineitem").columns + table(spark, folder, "events").columns
-    return matching.lexical_matches(keywords.tfidf_keywords(docs, "doc_id", "text"), columns)
+    return matching.lexical_matches(keywords.tfidf_keywords(docs, "doc_id", "text"), columns).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_match", """with parts as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
