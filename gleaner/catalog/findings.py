@@ -4,14 +4,20 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog import query, table
 from gleaner.catalog.tables import EVENT_MEASURES, EVENTS_SQL, LINEITEM_TYPES, events
-from gleaner.catalog.texts import KEYWORDS_SQL, key_sql
+from gleaner.catalog.texts import (
+    ALL_SENTENCES_SQL, CONTEXTS_SQL, KEYWORD_STEPS_SQL, KEYWORDS_SQL, SENTENCES_SQL, SUMMARY_SQL, entities_sql, key_sql,
+)
+from gleaner.catalog.texts import STATS_SQL as TEXT_STATS_SQL
 from gleaner.functions import labels
+from gleaner.functions.fixed import DOWN_WORDS, UP_WORDS
 from gleaner.operators import anomalies, fusion, groups, insights, keywords, matching, profile, ranking, trends
 from gleaner.plans.links import global_ranking, link_findings
 from gleaner.plans.tables import analyse_table
 from gleaner.plans.texts import analyse_corpus, analyse_documents
 
 DEPTH = 5
+UP_SQL = "[" + ", ".join(f"'{w}'" for w in UP_WORDS) + "]"
+DOWN_SQL = "[" + ", ".join(f"'{w}'" for w in DOWN_WORDS) + "]"
 
 
 def _number(x, decimals, grouped=False, signed=False):
@@ -84,12 +90,43 @@ def data_insights(spark, folder):
     return found.withColumn("score", F.round("score", 4))
 
 
-@query("text_insights")
+TEXT_SQL = f"""{SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {TEXT_STATS_SQL}, {KEYWORD_STEPS_SQL}, {SUMMARY_SQL}, {entities_sql('doc_id, ')},
+topic_terms as (select *, {label_sql('term')} as label from keywords where rank <= 6),
+topics as (select doc_id, string_agg(label, ', ' order by rank) as named,
+  list(label || ': ' || format('{{:.3f}}', score) order by rank) filter (rank <= 5) as evidence from topic_terms group by doc_id),
+early as (select *, min(rank) over (partition by doc_id, label) as label_rank from entities where rank <= 15),
+placed as (select *, dense_rank() over (partition by doc_id order by label_rank) as label_place,
+  row_number() over (partition by doc_id, label order by rank) as item_place, count(*) over (partition by doc_id, label) as label_items from early),
+label_texts as (select doc_id, label_place, any_value(label) as label, any_value(label_items) as n,
+  string_agg(text || ' (×' || count || ')', ', ' order by item_place) filter (item_place <= 3) as items from placed group by doc_id, label_place),
+named as (select doc_id, string_agg(label || ': ' || items, ' | ' order by label_place) filter (label_place <= 4) as coverage,
+  list(label || ': ' || n || ' entity/entities' order by label_place) filter (label_place <= 6) as evidence from label_texts group by doc_id),
+totals as (select doc_id, count(*) as n from entities group by doc_id),
+text_found as (
+ select doc_id, 0 as ordinal, 'Document Summary' as title, summary as description, 0.95::double as score,
+  ['Word count: ' || format('{{:,}}', word_count), 'Sentences analysed: ' || format('{{:,}}', sentence_count)] as evidence from summaries join doc_stats using (doc_id)
+ union all select doc_id, 1, 'Dominant Topics', 'The document''s dominant topics, ranked by TF-IDF importance, are: ' || named
+  || '. These terms appear with significantly higher frequency relative to their general usage, indicating the document''s core subject matter.', 0.88, evidence from topics
+ union all select doc_id, 2, 'Named Entities', 'Named entity recognition identified ' || n || ' distinct entities. Coverage: ' || coverage
+  || '. High entity density in a specific category may indicate the document is domain-specific reporting (e.g. financial, geographic, organisational).', 0.80, evidence
+  from named join totals using (doc_id)
+ union all select doc_id, 3, 'Large Document Processing', 'The document was large enough to require chunked processing (' || chunk_count
+  || ' chunks of ~4,500 characters). Summarisation was applied per-chunk and then consolidated via a second-pass TextRank for coherent output.', 0.45,
+  ['Chunks: ' || chunk_count, 'Words: ' || format('{{:,}}', word_count)] from doc_stats where chunk_count > 1),
+text_findings as (select f.* from text_found f join doc_stats using (doc_id) where readable)"""
+
+
+@query("text_insights", f"""with recursive {TEXT_SQL} select doc_id, ordinal::bigint as ordinal, title, description, score, evidence, 'text' as source from text_findings""")
 def text_insights(spark, folder):
     return analyse_documents(table(spark, folder, "documents"), "doc_id", "text").insights
 
 
-@query("ranked_text_insights")
+# The four titles are too different to count as near-duplicates, so ranking a document's findings only sorts them.
+@query("ranked_text_insights", f"""with recursive {TEXT_SQL},
+scaled as (select *, round(score / max(score) over (partition by doc_id), 4) as scaled from text_findings)
+select doc_id, row_number() over (partition by doc_id order by scaled desc, ordinal)::int as rank, scaled as score, title, description, score as raw_score, evidence,
+ 'text' as source, description as text, trunc(scaled * 100)::int as priority, trunc(scaled * 100)::int as score_pct,
+ case when scaled >= 0.85 then 'high' when scaled >= 0.65 then 'medium' else 'low' end as band, 'TEXT' as source_label from scaled""")
 def ranked_text_insights(spark, folder):
     return ranking.insight_records(analyse_documents(table(spark, folder, "documents"), "doc_id", "text").ranked)
 
@@ -180,10 +217,8 @@ def cosine_similarity(spark, folder):
         "vec_id", F.round(matching.cosine_similarity(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
-@query("text_direction", """with said as (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents),
-marked as (select doc_id, list_has_any(string_split(plain, ' '), ['increase', 'increased', 'increasing', 'rise', 'rising', 'growth', 'higher', 'up', 'surge',
-  'surging', 'gain', 'gained']) as up, list_has_any(string_split(plain, ' '), ['decrease', 'decreased', 'decline', 'declining', 'drop', 'dropping', 'lower',
-  'down', 'fall', 'falling', 'loss', 'reduced']) as down from said)
+@query("text_direction", f"""with said as (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents),
+marked as (select doc_id, list_has_any(string_split(plain, ' '), {UP_SQL}) as up, list_has_any(string_split(plain, ' '), {DOWN_SQL}) as down from said)
 select doc_id, case when up and not down then 'rising' when down and not up then 'falling' end as direction from marked""")
 def text_direction(spark, folder):
     return table(spark, folder, "documents").select("doc_id", labels.text_direction(F.array("text")).alias("direction"))
@@ -193,18 +228,46 @@ def _event_table(spark, folder, forest=False):
     return analyse_table(events(spark, folder), ["event_id"], ["event_type", "ts", "value", "accepted", "user_id"], forest=forest)
 
 
-@query("fusion_signals")
-def fusion_signals(spark, folder):
-    text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
-    return link_findings(_event_table(spark, folder), text).signals
+FUSION_COLUMNS = ["value", "accepted", "user_id", "event_type", "ts"]
+LINK_SQL = f"""{KEYWORDS_SQL}, {entities_sql('doc_id, ')},
+link_terms as (select doc_id, rank::bigint as ordinal, term, importance from keywords where rank <= 12
+ union all select doc_id, rank + 1000000, text, 0.40 from entities where rank <= 10),
+{lexical_sql('link_terms', FUSION_COLUMNS)},
+linked as (select t.*, "column", score as match_score from link_terms t join matches using (term)
+ qualify row_number() over (partition by doc_id, term, "column" order by ordinal) = 1)"""
 
 
-@query("match_list")
+@query("match_list", f"""with recursive {LINK_SQL}
+select doc_id, row_number() over (partition by doc_id order by ordinal)::int as rank, term, "column", round(match_score, 3) as score, 'difflib' as match_method
+from linked qualify row_number() over (partition by doc_id order by ordinal) <= 20""")
 def match_list(spark, folder):
     text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
     return link_findings(_event_table(spark, folder), text).matches
 
 
+@query("fusion_signals", f"""with recursive {LINK_SQL}, {CONTEXTS_SQL}, {DATA_SQL},
+said as (select doc_id, term, trim(regexp_replace(lower(string_agg(sentence, ' ' order by mention)), '[^a-z0-9]+', ' ', 'g')) as plain
+ from contexts where rank <= 12 group by doc_id, term),
+directions as (select doc_id, term, list_has_any(string_split(plain, ' '), {UP_SQL}) as up, list_has_any(string_split(plain, ' '), {DOWN_SQL}) as down from said),
+facts as (select m.c as "column", m.label, m.direction, m.pct, mean, lo, hi from moved m join stats_long s on s.c = m.c where pct is not null),
+signals as (select l.doc_id, l.ordinal, l.term, l."column", label, direction, pct, mean, lo, hi, importance, match_score,
+  case when up and not down then 'rising' when down and not up then 'falling' end as said
+ from linked l join facts f on f."column" = l."column" left join directions d on d.doc_id = l.doc_id and d.term = l.term),
+scored_signals as (select *, least(0.99, 0.65 + importance * 0.15 + match_score * 0.10 + abs(pct) / 500) as raw from signals)
+select doc_id, ordinal, term, "column", 'trend' as "case", 'Text ↔ Data: ' || label as title,
+ 'The text references ''' || term || ''' (' || case when said is null then 'corresponds to' when said = direction then 'aligns with' else 'contradicts' end
+ || ' the data signal). Structured data shows ' || label || ' is ' || direction || ' by ' || format('{{:.1f}}', abs(pct)) || '% across day periods. '
+ || case when said is null then '' when said = direction then 'Both the text narrative and the data trend point in the same direction, reinforcing this signal.'
+  else 'The text narrative and data trend point in opposite directions — this discrepancy warrants investigation.' end
+ || ' Current mean: ' || format('{{:,.2f}}', mean) || ' (range: ' || format('{{:,.2f}}', lo) || ' – ' || format('{{:,.2f}}', hi) || ').' as description,
+ round(raw, 4) as score, ['Keyword importance: ' || format('{{:.3f}}', importance), 'Match score: ' || format('{{:.3f}}', match_score),
+  'Data trend: ' || direction || ' ' || format('{{:.1f}}', abs(pct)) || '%'] as evidence, 'fusion' as source
+from scored_signals qualify row_number() over (partition by doc_id order by raw desc, ordinal) <= 6""")
+def fusion_signals(spark, folder):
+    text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return link_findings(_event_table(spark, folder), text).signals.withColumn("score", F.round("score", 4))
+
+
 @query("ranked_insights")
 def ranked_insights(spark, folder):
     """The whole analysis: a table, a corpus, their links, one ranked list."""

@@ -92,15 +92,19 @@ def clean_pages(spark, folder):
     return documents.clean_lines(table(spark, folder, "conversations"), "conv_id", "text", page="turn")
 
 
-@query("text_stats", rf"""with recursive {SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {packing_sql('packed', 'worded', 4500)},
-chunked as (select doc_id, max(chunk) + 1 as n from packed group by doc_id),
-counted as (select doc_id, count(*) as n from clean group by doc_id)
+STATS_SQL = rf"""{packing_sql('s_packing', 'worded', 4500)},
+chunked as (select doc_id, max(chunk) + 1 as n from s_packing group by doc_id),
+counted as (select doc_id, count(*) as n from clean group by doc_id),
+doc_stats as materialized (
 select c.doc_id, length(body)::int as char_count, len(list_filter(string_split_regex(body, '{SPACE}+'), lambda w: w <> ''))::int as word_count,
  coalesce(s.n, 0)::int as sentence_count, len(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_\-'']*'))::int as token_count,
  len(list_filter(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_\-'']*'),
    lambda t: length(t) > 2 and lower(t) not in {quoted(TOKEN_STOP_WORDS)}))::int as filtered_token_count,
  coalesce(k.n, (body <> '')::int)::int as chunk_count, coalesce(s.n, 0) > 0 as readable
-from compacted c left join counted s using (doc_id) left join chunked k using (doc_id)""")
+from compacted c left join counted s using (doc_id) left join chunked k using (doc_id))"""
+
+
+@query("text_stats", f"with recursive {SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {STATS_SQL} select * from doc_stats")
 def text_stats(spark, folder):
     return documents.text_stats(docs(spark, folder), "doc_id", "text")
 
@@ -125,7 +129,7 @@ passages as (select doc_id, pos, sentence as passage from clean where doc_id in
   union all select doc_id, pos, passage from chunks where doc_id not in (select doc_id from sentence_counts where n >= 2))
 """
 
-KEYWORDS_SQL = f"""{SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {packing_sql('packing', 'worded', 4000)}, {PASSAGES_SQL},
+KEYWORD_STEPS_SQL = f"""{packing_sql('packing', 'worded', 4000)}, {PASSAGES_SQL},
 passage_counts as (select doc_id, count(*) as n from passages group by doc_id),
 tokens as (select doc_id, pos, {tokens_sql('passage')} as t from passages),
 terms as (select doc_id, pos, unnest({bigrams_sql('t')}) as term from tokens),
@@ -142,6 +146,9 @@ keywords as materialized (select doc_id, row_number() over (partition by doc_id
 """
 
 
+KEYWORDS_SQL = f"{SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {KEYWORD_STEPS_SQL}"
+
+
 @query("tfidf_keywords", f"with recursive {KEYWORDS_SQL} select doc_id, rank::int as rank, term, round(score, 6) as score, importance from keywords")
 def tfidf_keywords(spark, folder):
     return keywords.tfidf_keywords(table(spark, folder, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
@@ -161,11 +168,14 @@ def corpus_keywords(spark, folder):
     return keywords.corpus_keywords(table(spark, folder, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
-@query("keyword_contexts", f"""with recursive {KEYWORDS_SQL},
-plain as materialized (select doc_id, pos, sentence, {key_sql('sentence')} as plain from clean)
-select doc_id, rank::int as rank, term, row_number() over (partition by doc_id, term order by pos)::int as mention, pos::int as pos, sentence
+CONTEXTS_SQL = f"""plain as materialized (select doc_id, pos, sentence, {key_sql('sentence')} as plain from clean),
+contexts as (select doc_id, rank, term, row_number() over (partition by doc_id, term order by pos) as mention, pos, sentence
 from keywords join plain using (doc_id) where contains(plain, {key_sql('term')}) and {key_sql('term')} <> ''
-qualify row_number() over (partition by doc_id, term order by pos) <= 2""")
+qualify row_number() over (partition by doc_id, term order by pos) <= 2)"""
+
+
+@query("keyword_contexts", f"""with recursive {KEYWORDS_SQL}, {CONTEXTS_SQL}
+select doc_id, rank::int as rank, term, mention::int as mention, pos::int as pos, sentence from contexts""")
 def keyword_contexts(spark, folder):
     source = table(spark, folder, "documents")
     return keywords.keyword_contexts(source, keywords.tfidf_keywords(source, "doc_id", "text"), "doc_id", "text")
@@ -200,11 +210,18 @@ def textrank_sql(prefix, source, count):
 """
 
 
-TEXTRANK_SQL = f"""{SENTENCES_SQL}, {packing_sql('packing', 'clean', 4500)},
-units as materialized (select doc_id * 10000 + chunk as unit, pos, sentence, doc_id, chunk from packing), {textrank_sql('t', 'units', 2)}"""
+TEXTRANK_SQL = f"""{packing_sql('t_packing', 'clean', 4500)},
+units as materialized (select doc_id * 10000 + chunk as unit, pos, sentence, doc_id, chunk from t_packing), {textrank_sql('t', 'units', 2)}"""
+SECOND_SQL = textrank_sql('d', 'merged', 'case when chunks = 1 then 1000000 else 4 end').replace(
+    'join d_sized using (unit)', 'join d_sized using (unit) join chunk_totals on doc_id = unit')
+SUMMARY_SQL = f"""{TEXTRANK_SQL},
+chunk_totals as (select doc_id, max(chunk) + 1 as chunks from units group by doc_id),
+merged as materialized (select unit // 10000 as unit, pos, sentence from t_best), {SECOND_SQL},
+summaries as materialized (select unit as doc_id, any_value(chunks)::int as chunks, string_agg(sentence, ' ' order by place) as summary
+from d_best join chunk_totals on doc_id = unit group by unit)"""
 
 
-@query("textrank_summary", f"""with recursive {TEXTRANK_SQL}
+@query("textrank_summary", f"""with recursive {SENTENCES_SQL}, {TEXTRANK_SQL}
 select unit // 10000 as doc_id, (unit % 10000)::int as chunk, any_value(n)::int as sentence_count,
  list((place - 1)::int order by place) as picked, string_agg(sentence, ' ' order by place) as summary
 from t_best join t_sized using (unit) group by unit""")
@@ -212,12 +229,7 @@ def textrank_summary(spark, folder):
     return summaries.textrank_summary(docs(spark, folder), "doc_id", "text")
 
 
-@query("document_summary", f"""with recursive {TEXTRANK_SQL},
-chunk_totals as (select doc_id, max(chunk) + 1 as chunks from units group by doc_id),
-merged as materialized (select unit // 10000 as unit, pos, sentence from t_best), {textrank_sql('d', 'merged', 'case when chunks = 1 then 1000000 else 4 end')
-.replace('join d_sized using (unit)', 'join d_sized using (unit) join chunk_totals on doc_id = unit')}
-select unit as doc_id, any_value(chunks)::int as chunks, string_agg(sentence, ' ' order by place) as summary
-from d_best join chunk_totals on doc_id = unit group by unit""")
+@query("document_summary", f"with recursive {SENTENCES_SQL}, {SUMMARY_SQL} select * from summaries")
 def document_summary(spark, folder):
     return summaries.document_summary(docs(spark, folder), "doc_id", "text")
 
@@ -227,18 +239,18 @@ def entities_sql(keys):
         f"""select {keys} unnest(regexp_extract_all(text, '{p.replace("'", "''")}')) as text, '{label}' as label from documents"""
         for label, p in documents.ENTITY_PATTERNS.items())
     part = f"partition by {keys.rstrip(', ')}" if keys else ""
-    return f"""with mentions as (select {keys} {compact_sql('text')} as text, label from ({found})),
-counted as (select {keys} text, label, count(*) as count from mentions where length(text) >= 2 group by all)
-select *, row_number() over ({part} order by count desc, text, label)::int as rank from counted
-qualify row_number() over ({part} order by count desc, text, label) <= 20"""
+    return f"""entity_mentions as (select {keys} {compact_sql('text')} as text, label from ({found})),
+entity_counted as (select {keys} text, label, count(*) as count from entity_mentions where length(text) >= 2 group by all),
+entities as materialized (select *, row_number() over ({part} order by count desc, text, label)::int as rank from entity_counted
+qualify row_number() over ({part} order by count desc, text, label) <= 20)"""
 
 
-@query("entity_counts", entities_sql("doc_id, "))
+@query("entity_counts", f"with {entities_sql('doc_id, ')} select * from entities")
 def entity_counts(spark, folder):
     return documents.entity_counts(docs(spark, folder), ["doc_id"], "text")
 
 
-@query("corpus_entities", entities_sql(""))
+@query("corpus_entities", f"with {entities_sql('')} select * from entities")
 def corpus_entities(spark, folder):
     return documents.entity_counts(docs(spark, folder), [], "text")
 
