@@ -1,5 +1,7 @@
 """File inventory, CSV and text readers."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,11 @@ def file_kind(path: Column) -> Column:
 
 def file_inventory(spark: SparkSession, path: str, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """Every file below ``path`` with kind, size and, when it cannot be used, the reason. Contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # Scans skip empty files, but the file index lists them.
+    names = [(unquote(name).replace("file:///", "file:/", 1),) for name in found.inputFiles()]
+    listing = spark.createDataFrame(names, "path string").join(found.select("path", "length"), "path", "left") \
+        .withColumn("length", F.coalesce("length", F.lit(0)))
     kind = file_kind(F.col("path"))
     error = F.when(F.col("length") == 0, REJECT_EMPTY)
     if max_bytes is not None:
