@@ -1,66 +1,105 @@
 """Full analysis of one table."""
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from gleaner.functions.fixed import depth_limits
+from gleaner.functions.storage import materialise
 from gleaner.operators import anomalies, groups, insights, isolation, profile, ranking, schema, trends
 
 
-@dataclass
 class TableAnalysis:
-    """Results as DataFrames; None where the table lacks the columns an operator needs."""
-
-    table: DataFrame
-    roles: schema.Roles
-    kpis: DataFrame
-    missing: DataFrame
-    stats: DataFrame | None
-    categories: DataFrame | None
-    groups: DataFrame | None
-    trends: DataFrame | None
-    correlation: DataFrame | None
-    anomaly_summary: DataFrame | None
-    anomaly_rows: DataFrame | None
-    insights: DataFrame
-    ranked: DataFrame
+    """Roles, statistics, groups, trends, outliers and ranked findings of a table.
+
+    Every result is a DataFrame that is planned on first use, or None where the table lacks the columns for it. Results
+    of a few rows per column that other results read are written once, so that the table is not scanned for each reader.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], columns: list[str] | None = None, depth: int = 3, forest: bool = True):
+        self.keys, self.depth, self.forest = keys, depth, forest
+        wanted = columns or [c for c in df.columns if c not in keys]
+        carried = [k for k in keys if k not in wanted]
+        self.table, found = schema.detect_roles(df.select(*carried, *wanted))
+        self.roles = schema.Roles(*[[c for c in role if c in wanted] for role in (found.numerical, found.categorical, found.datetime)])
+        self._measured = self.table.drop(*carried)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return profile.kpis(self._measured, self.roles)
+
+    @cached_property
+    def schema(self) -> DataFrame:
+        return schema.schema_profile(self._measured)
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return profile.missing_values(self._measured)
+
+    @cached_property
+    def stats(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        return materialise(profile.numeric_stats(self.table, nums), "stats") if nums else None
+
+    @cached_property
+    def categories(self) -> DataFrame | None:
+        cats = self.roles.categorical
+        return profile.category_profile(self.table, cats) if cats else None
+
+    @cached_property
+    def groups(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        narrow = profile.narrow_columns(self.table, self.roles.categorical, groups.GROUP_CARDINALITY) if nums else []
+        return materialise(groups.groupby_tables(self.table, narrow, nums), "groups") if narrow else None
+
+    @cached_property
+    def trends(self) -> DataFrame | None:
+        """Calendar trends, or row-order trends where there are none."""
+        nums, dates = self.roles.numerical, self.roles.datetime
+        if not nums:
+            return None
+        if dates:
+            found = materialise(trends.datetime_trend(self.table, dates, nums), "trends")
+            if not found.isEmpty():
+                return found
+        return materialise(trends.index_trend(self.table, self.keys, nums), "trends")
+
+    @cached_property
+    def correlation(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        return profile.correlation_matrix(self.table, nums) if len(nums) > 1 else None
+
+    @cached_property
+    def top_correlation(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        return profile.top_correlation(self.table, nums) if len(nums) > 1 else None
+
+    @cached_property
+    def flagged(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        return isolation.flag_anomalies(self.table, self.keys, nums) if nums and self.forest else None
+
+    @cached_property
+    def anomaly_summary(self) -> DataFrame | None:
+        nums = self.roles.numerical
+        return materialise(anomalies.anomaly_summary(self.table, nums, self.flagged), "anomalies") if nums else None
+
+    @cached_property
+    def anomaly_rows(self) -> DataFrame | None:
+        return None if self.flagged is None else isolation.anomaly_rows(self.table, self.keys, self.roles.numerical, flagged=self.flagged)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return insights.data_insights(
+            self.stats, self.trends, self.anomaly_summary, self.groups, self.top_correlation, self.depth)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return ranking.rank_insights(self.insights, [], depth_limits(self.depth)["data_ranked"])
 
 
 def analyse_table(
     df: DataFrame, keys: list[str], columns: list[str] | None = None, depth: int = 3, forest: bool = True
 ) -> TableAnalysis:
-    """Roles, statistics, groups, trends, outliers and ranked findings of a table.
-
-    ``keys`` identify and order the rows; ``columns`` limits every operator to those columns.
-    """
-    analysed, roles = schema.detect_roles(df.select(*columns) if columns else df.drop(*keys))
-    carried = [k for k in keys if k not in analysed.columns]
-    if carried:
-        retyped, _ = schema.detect_roles(df)
-        analysed = retyped.select(*carried, *analysed.columns)
-    measured = analysed.drop(*carried)
-    nums, cats, dates = roles.numerical, roles.categorical, roles.datetime
-    narrow = profile.narrow_columns(analysed, cats, 40)
-    found_trends = None
-    if nums and dates:
-        found_trends = trends.datetime_trend(analysed, dates, nums)
-        if found_trends.isEmpty():
-            found_trends = None
-    if nums and found_trends is None:
-        found_trends = trends.index_trend(analysed, keys, nums)
-    flagged = isolation.flag_anomalies(analysed, keys, nums) if nums and forest else None
-    summary = anomalies.anomaly_summary(analysed, nums, flagged) if nums else None
-    rows = isolation.anomaly_rows(analysed, keys, nums, flagged=flagged) if flagged is not None else None
-    stats = profile.numeric_stats(analysed, nums) if nums else None
-    tables = groups.groupby_tables(analysed, narrow, nums) if nums and narrow else None
-    strongest = profile.top_correlation(analysed, nums) if len(nums) > 1 else None
-    if not nums:
-        raise ValueError("findings need at least one numeric column")
-    found = insights.data_insights(stats, found_trends, summary, tables, strongest, depth)
-    return TableAnalysis(
-        table=analysed, roles=roles, kpis=profile.kpis(measured, roles), missing=profile.missing_values(measured), stats=stats,
-        categories=profile.category_profile(analysed, cats) if cats else None, groups=tables, trends=found_trends,
-        correlation=profile.correlation_matrix(analysed, nums) if len(nums) > 1 else None,
-        anomaly_summary=summary, anomaly_rows=rows, insights=found,
-        ranked=ranking.rank_insights(found, [], depth_limits(depth)["data_ranked"]))
+    """``keys`` identify and order the rows; ``columns`` limits every operator to those columns."""
+    return TableAnalysis(df, keys, columns, depth, forest)
