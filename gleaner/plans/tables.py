@@ -90,6 +90,9 @@ class TableAnalysis:
 
     @cached_property
     def insights(self) -> DataFrame:
+        if not self.roles.numerical:
+            # Every finding about a table starts from a number.
+            return self.table.sparkSession.createDataFrame([], insights.SCHEMA)
         return insights.data_insights(
             self.stats, self.trends, self.anomaly_summary, self.groups, self.top_correlation, self.depth)
 

@@ -236,3 +236,10 @@ def test_table_analysis_without_dates_uses_row_order(spark):
     assert result.roles.numerical == ["v"] and result.kpis.first()["columns"] == 2
     titles = [r["title"] for r in result.ranked.orderBy("rank").collect()]
     assert titles[0] == "V Trend" and "G Leader: a" in titles
+
+
+def test_table_without_numbers_has_no_findings(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(9)], "id int, g string")
+    result = analyse_table(df, ["id"], columns=["g"])
+    assert result.ranked.count() == 0 and result.stats is None and result.trends is None
+    assert result.categories.first()["count"] == 9
