@@ -31,6 +31,11 @@ def label_sql(x):
     return LABEL_SQL.format(x=x)
 
 
+def joined_evidence(found):
+    """Evidence lists as one text, so that both sides of a comparison show the same."""
+    return found.withColumn("evidence", F.array_join("evidence", " | "))
+
+
 STATS_SQL = "stats_long as (" + " union all ".join(f"""
  select {i} as ordinal, '{c}' as c, avg({c}) as mean, stddev_pop({c}) as std, coalesce(skewness({c}), 0) as skew,
   min({c})::double as lo, max({c})::double as hi, 100.0 * (count(*) - count({c})) / count(*) as missing from marked"""
@@ -80,14 +85,14 @@ found as (
 
 
 @query("data_insights", f"""with {DATA_SQL}
-select ordinal::bigint as ordinal, title, description, round(score, 4) as score, evidence, source from found order by score desc, ordinal limit {3 * DEPTH}""")
+select ordinal::bigint as ordinal, title, description, round(score, 4) as score, array_to_string(evidence, ' | ') as evidence, source from found order by score desc, ordinal limit {3 * DEPTH}""")
 def data_insights(spark, folder):
     df = events(spark, folder)
     found = insights.data_insights(
         profile.numeric_stats(df, EVENT_MEASURES), trends.datetime_trend(df, ["ts"], EVENT_MEASURES),
         anomalies.anomaly_summary(df, EVENT_MEASURES), groups.groupby_tables(df, ["event_type"], EVENT_MEASURES),
         profile.top_correlation(df, EVENT_MEASURES), DEPTH)
-    return found.withColumn("score", F.round("score", 4))
+    return joined_evidence(found.withColumn("score", F.round("score", 4)))
 
 
 TEXT_SQL = f"""{SENTENCES_SQL}, {ALL_SENTENCES_SQL}, {TEXT_STATS_SQL}, {KEYWORD_STEPS_SQL}, {SUMMARY_SQL}, {entities_sql('doc_id, ')},
@@ -116,19 +121,19 @@ text_found as (
 text_findings as (select f.* from text_found f join doc_stats using (doc_id) where readable)"""
 
 
-@query("text_insights", f"""with recursive {TEXT_SQL} select doc_id, ordinal::bigint as ordinal, title, description, score, evidence, 'text' as source from text_findings""")
+@query("text_insights", f"""with recursive {TEXT_SQL} select doc_id, ordinal::bigint as ordinal, title, description, score, array_to_string(evidence, ' | ') as evidence, 'text' as source from text_findings""")
 def text_insights(spark, folder):
-    return analyse_documents(table(spark, folder, "documents"), "doc_id", "text").insights
+    return joined_evidence(analyse_documents(table(spark, folder, "documents"), "doc_id", "text").insights)
 
 
 # The four titles are too different to count as near-duplicates, so ranking a document's findings only sorts them.
 @query("ranked_text_insights", f"""with recursive {TEXT_SQL},
 scaled as (select *, round(score / max(score) over (partition by doc_id), 4) as scaled from text_findings)
-select doc_id, row_number() over (partition by doc_id order by scaled desc, ordinal)::int as rank, scaled as score, title, description, score as raw_score, evidence,
+select doc_id, row_number() over (partition by doc_id order by scaled desc, ordinal)::int as rank, scaled as score, title, description, score as raw_score, array_to_string(evidence, ' | ') as evidence,
  'text' as source, description as text, trunc(scaled * 100)::int as priority, trunc(scaled * 100)::int as score_pct,
  case when scaled >= 0.85 then 'high' when scaled >= 0.65 then 'medium' else 'low' end as band, 'TEXT' as source_label from scaled""")
 def ranked_text_insights(spark, folder):
-    return ranking.insight_records(analyse_documents(table(spark, folder, "documents"), "doc_id", "text").ranked)
+    return joined_evidence(ranking.insight_records(analyse_documents(table(spark, folder, "documents"), "doc_id", "text").ranked))
 
 
 COLUMN_NAMES = ["small_ring_price", "red_widget_count", "bolt size", "p_name", "p_brand", "l_extendedprice"]
@@ -260,12 +265,12 @@ select doc_id, ordinal, term, "column", 'trend' as "case", 'Text ↔ Data: ' ||
  || case when said is null then '' when said = direction then 'Both the text narrative and the data trend point in the same direction, reinforcing this signal.'
   else 'The text narrative and data trend point in opposite directions — this discrepancy warrants investigation.' end
  || ' Current mean: ' || format('{{:,.2f}}', mean) || ' (range: ' || format('{{:,.2f}}', lo) || ' – ' || format('{{:,.2f}}', hi) || ').' as description,
- round(raw, 4) as score, ['Keyword importance: ' || format('{{:.3f}}', importance), 'Match score: ' || format('{{:.3f}}', match_score),
-  'Data trend: ' || direction || ' ' || format('{{:.1f}}', abs(pct)) || '%'] as evidence, 'fusion' as source
+ round(raw, 4) as score, array_to_string(['Keyword importance: ' || format('{{:.3f}}', importance), 'Match score: ' || format('{{:.3f}}', match_score),
+  'Data trend: ' || direction || ' ' || format('{{:.1f}}', abs(pct)) || '%'], ' | ') as evidence, 'fusion' as source
 from scored_signals qualify row_number() over (partition by doc_id order by raw desc, ordinal) <= 6""")
 def fusion_signals(spark, folder):
     text = analyse_documents(table(spark, folder, "documents"), "doc_id", "text")
-    return link_findings(_event_table(spark, folder), text).signals.withColumn("score", F.round("score", 4))
+    return joined_evidence(link_findings(_event_table(spark, folder), text).signals.withColumn("score", F.round("score", 4)))
 
 
 @query("ranked_insights")
@@ -274,4 +279,4 @@ def ranked_insights(spark, folder):
     data = _event_table(spark, folder, forest=True)
     text = analyse_corpus(table(spark, folder, "documents"), "doc_id", "text")
     links = link_findings(data, text)
-    return global_ranking([data.ranked, text.ranked, links.ranked])
+    return joined_evidence(global_ranking([data.ranked, text.ranked, links.ranked]))

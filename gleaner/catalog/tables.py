@@ -136,6 +136,14 @@ def correlation_matrix(spark, folder):
     return profile.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"])
 
 
+@query("heatmap_cells", f"""with {CONSTANT_SQL}, pairs as ({PAIRS_SQL}),
+both_ways as (select col_a, col_b, r from pairs union all select col_b, col_a, r from pairs)
+select col_a, col_b, round(r, 2) as r from both_ways union all """ + per_column(MEASURES + ["l_constant"], """
+select '{c}', '{c}', case when stddev_pop({c}) > 0 then 1.0::double end from {source}"""))
+def heatmap_cells(spark, folder):
+    return charts.heatmap_cells(profile.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"]))
+
+
 @query("top_correlation", f"""with {CONSTANT_SQL}, pairs as ({PAIRS_SQL})
 select col_a, col_b, r, case when r > 0 then 'positively' else 'negatively' end as direction,
  case when abs(r) > 0.7 then 'strongly' when abs(r) > 0.4 then 'moderately' else 'weakly' end as strength
@@ -291,6 +299,11 @@ def anomaly_rows(spark, folder):
     return isolation.anomaly_rows(events(spark, folder), ["event_id"], ["value", "user_id"])
 
 
+@query("anomaly_points")
+def anomaly_points(spark, folder):
+    return charts.anomaly_points(anomaly_rows(spark, folder), ["event_id"], "value", "user_id")
+
+
 HISTOGRAM_SQL = """with edges as (select min({c}) as lo, (max({c}) - min({c})) / {n} as w from {t}),
 counted as (select least(floor(({c} - lo) / w), {n} - 1)::int as bin, count(*) as count from {t}, edges where {c} is not null group by 1)
 select r.range::int as bin, round(lo + r.range * w, 4) as bin_start, round(lo + (r.range + 1) * w, 4) as bin_end, coalesce(count, 0) as count

@@ -7,7 +7,7 @@ from gleaner.functions import labels
 from gleaner.functions.fixed import KEYWORD_STOP_WORDS, TOKEN_STOP_WORDS
 from gleaner.functions.storage import spread
 from gleaner.functions.text import LINE_BREAK, SPACE, normalise_whitespace
-from gleaner.operators import documents, keywords, summaries
+from gleaner.operators import charts, documents, keywords, summaries
 
 
 def docs(spark, folder):
@@ -154,6 +154,13 @@ def tfidf_keywords(spark, folder):
     return keywords.tfidf_keywords(table(spark, folder, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
+@query("keyword_cloud", f"""with recursive {KEYWORDS_SQL}
+select doc_id, rank::int as rank, term, round(0.5 + 0.5 * importance, 6) as weight from keywords where rank <= 12""")
+def keyword_cloud(spark, folder):
+    found = charts.keyword_cloud(keywords.tfidf_keywords(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"])
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 @query("corpus_keywords", f"""with {SENTENCES_SQL},
 tokens as (select doc_id, pos, {tokens_sql('sentence')} as t from clean),
 terms as (select doc_id, pos, unnest({bigrams_sql('t')}) as term from tokens),
@@ -223,10 +230,11 @@ from d_best join chunk_totals on doc_id = unit group by unit)"""
 
 @query("textrank_summary", f"""with recursive {SENTENCES_SQL}, {TEXTRANK_SQL}
 select unit // 10000 as doc_id, (unit % 10000)::int as chunk, any_value(n)::int as sentence_count,
- list((place - 1)::int order by place) as picked, string_agg(sentence, ' ' order by place) as summary
+ string_agg((place - 1)::varchar, ',' order by place) as picked, string_agg(sentence, ' ' order by place) as summary
 from t_best join t_sized using (unit) group by unit""")
 def textrank_summary(spark, folder):
-    return summaries.textrank_summary(docs(spark, folder), "doc_id", "text")
+    found = summaries.textrank_summary(docs(spark, folder), "doc_id", "text")
+    return found.withColumn("picked", F.array_join(F.col("picked").cast("array<string>"), ","))
 
 
 @query("document_summary", f"with recursive {SENTENCES_SQL}, {SUMMARY_SQL} select * from summaries")
@@ -257,12 +265,12 @@ def corpus_entities(spark, folder):
 
 @query("label_forms", f"""with named as (select p_partkey, p_name || '_' || p_brand || '/' || p_size || p_type as label from part),
 keyed as (select p_partkey, label, {key_sql('label')} as "key" from named)
-select p_partkey, "key", list_filter(string_split("key", ' '), lambda t: t <> '') as tokens,
+select p_partkey, "key", array_to_string(list_filter(string_split("key", ' '), lambda t: t <> ''), ',') as tokens,
  array_to_string(list_transform(regexp_extract_all("key", '[0-9]+|[a-z]+| '), lambda t: upper(t[1]) || t[2:]), '') as readable from keyed""")
 def label_forms(spark, folder):
     label = F.concat(F.col("p_name"), F.lit("_"), F.col("p_brand"), F.lit("/"), F.col("p_size").cast("string"), F.col("p_type"))
     return table(spark, folder, "part").select(
-        "p_partkey", labels.normalise_key(label).alias("key"), labels.label_tokens(label).alias("tokens"),
+        "p_partkey", labels.normalise_key(label).alias("key"), F.array_join(labels.label_tokens(label), ",").alias("tokens"),
         labels.humanize_label(label).alias("readable"))
 
 

@@ -4,8 +4,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.profile import _exact_or_narrowed, value_counts
+from gleaner.operators.schema import Roles
 
+# Points of a scatter chart, terms of a keyword cloud, charts of a group.
 SCATTER_POINTS = 2_000
+CLOUD_TERMS = 12
+CHARTS_PER_GROUP = 4
 
 
 def histogram_bins(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -82,3 +86,33 @@ def scatter_points(df: DataFrame, order_by: list[str], x: str, y: str, points: i
 def line_points(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Raw date and metric of every complete row, in date order."""
     return df.select(date, metric).dropna().orderBy(date, metric)
+
+
+def heatmap_cells(matrix: DataFrame) -> DataFrame:
+    """Correlation cells as shown in a heat map, 2 decimals."""
+    return matrix.withColumn("r", F.round("r", 2))
+
+
+def anomaly_points(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """The reported outlier rows as points, sized by the distance of their score from the cut-off."""
+    return rows.select(
+        *keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col("_isolation_anomaly").alias("flagged"),
+        F.abs("_anomaly_score").alias("size"))
+
+
+def keyword_cloud(keywords: DataFrame, keys: list[str], top: int = CLOUD_TERMS) -> DataFrame:
+    """The first keywords with a display weight between one half and one."""
+    return keywords.where(F.col("rank") <= top).select(*keys, "rank", "term", (0.5 + 0.5 * F.col("importance")).alias("weight"))
+
+
+def chart_list(roles: Roles, trend_metrics: list[str], correlated: bool, outliers: bool) -> list[tuple[str, str, str]]:
+    """(group, kind, column) of the charts a table gets: at most four per group, from its first columns."""
+    nums, cats = roles.numerical, roles.categorical
+    primary = [("line", m) for m in trend_metrics[:2]] + [("histogram", c) for c in nums[:2]]
+    category = [(kind, c) for c in cats[:2] for kind in ("share", "bar")]
+    advanced = [("box", c) for c in nums[:2]]
+    advanced += [("heatmap", "")] * correlated
+    if len(nums) >= 2:
+        advanced += [("outliers", f"{nums[0]} {nums[1]}")] * outliers + [("scatter", f"{nums[0]} {nums[1]}")]
+    groups = (("primary", primary), ("category", category), ("advanced", advanced))
+    return [(group, kind, column) for group, charts in groups for kind, column in charts[:CHARTS_PER_GROUP]]

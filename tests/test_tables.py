@@ -243,3 +243,13 @@ def test_table_without_numbers_has_no_findings(spark):
     result = analyse_table(df, ["id"], columns=["g"])
     assert result.ranked.count() == 0 and result.stats is None and result.trends is None
     assert result.categories.first()["count"] == 9
+
+
+def test_chart_list():
+    roles = schema.Roles(["a", "b", "c"], ["g"], ["d"])
+    found = charts.chart_list(roles, ["c", "a", "b"], True, True)
+    assert found == [
+        ("primary", "line", "c"), ("primary", "line", "a"), ("primary", "histogram", "a"), ("primary", "histogram", "b"),
+        ("category", "share", "g"), ("category", "bar", "g"),
+        ("advanced", "box", "a"), ("advanced", "box", "b"), ("advanced", "heatmap", ""), ("advanced", "outliers", "a b")]
+    assert charts.chart_list(schema.Roles(["a"], [], []), [], False, False) == [("primary", "histogram", "a"), ("advanced", "box", "a")]
