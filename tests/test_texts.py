@@ -238,6 +238,8 @@ def test_whole_analysis(spark):
     final = global_ranking([data.ranked, text.ranked, links.ranked]).orderBy("rank").collect()
     assert data.roles.datetime == ["day"] and [r["rank"] for r in final] == list(range(1, len(final) + 1))
     assert final[0]["score"] == 1.0 and {r["source"] for r in final} >= {"data", "text"}
+    words_only = analyse_table(table, ["id"], columns=["region"])
+    assert link_findings(words_only, text).ranked.count() == 0
     each = analyse_documents(docs, "id", "text")
     assert each.ranked.where("title = 'Document Summary'").count() == 2
 
