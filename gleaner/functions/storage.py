@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Only a local session that names neither gets a folder of its own; a cluster without one is an error, since executors and
+    driver don't see each other's local folders."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
