@@ -20,9 +20,15 @@ PLACE = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(23)
 BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 ODD = _rng.integers(0, 1 << 64, 6, dtype=np.uint64) | np.uint64(1)
-_step = int(ODD[5])
-POWERS = np.cumprod(np.concatenate([[1], np.full(SEGMENT + LEAST, _step, dtype=np.uint64)]).astype(np.uint64))
-INVERSE = np.cumprod(np.concatenate([[1], np.full(SEGMENT + LEAST, pow(_step, -1, 1 << 64), dtype=np.uint64)]).astype(np.uint64))
+
+
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(SEGMENT + LEAST + 1, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+POWERS, INVERSE = _powers(int(ODD[5])), _powers(pow(int(ODD[5]), -1, 1 << 64))
 NO_ID = (1 << 63) - 1
 
 
@@ -229,8 +235,8 @@ def _with_texts(texts: DataFrame, found: DataFrame, kind: int, shares: int, user
             yield pd.DataFrame({"share": frame["share"], "kind": 9, "row": frame["uid"], "doc": frame["doc"],
                                 "key": [tool.compress(t) for t in frame["text"]], "uid": None, "first": None, "n": None})
 
-    none = F.lit(None).cast("long")
-    marks = found.where(F.col("kind") == kind).select("share", "kind", none.alias("row"), none.alias("doc"), "key", "uid", "first", "n")
+    zero = F.lit(0).cast("long")  # null would make the column one of doubles
+    marks = found.where(F.col("kind") == kind).select("share", "kind", zero.alias("row"), zero.alias("doc"), "key", "uid", "first", "n")
     rows = texts.select(share, "uid", "doc", "text").mapInPandas(squeeze, both).unionByName(marks).repartition("share").sortWithinPartitions("share", "kind")
 
     def gathered(held):
