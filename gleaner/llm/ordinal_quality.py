@@ -23,7 +23,7 @@ class Buckets(dict):
     """Bucket of a raw lower-case word, remembered for the words seen lately."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found = word_bucket(word.strip(STRIP) or "\x00")
         return found

@@ -21,7 +21,7 @@ class Words(dict):
     """64-bit hash of a word, remembered for the words seen lately."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

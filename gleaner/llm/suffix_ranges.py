@@ -338,20 +338,31 @@ RESULT = "doc_id long, n_bytes long, spans array<struct<start:int,length:int>>,
 
 
 class Cut:
-    """Takes covered bytes out of a text."""
+    """Takes covered bytes out of texts, and returns some MB of them at a time."""
+
+    def __init__(self, flush: int = 1 << 22):
+        self.flush, self.held, self.size = flush, [], 0
 
     def text(self, uid, doc, text, key, first, n):
-        change = np.zeros(len(text) + 1, dtype=np.int32)
-        np.add.at(change, first, 1)
-        np.add.at(change, first + n + LEAST - 1, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-        spans = [{"start": int(a), "length": int(b - a)} for a, b in edges.reshape(-1, 2)]
-        kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if spans else text
-        return pd.DataFrame({"doc_id": pd.array([None if doc == NO_ID else doc], dtype="Int64"), "n_bytes": [len(text)], "spans": [spans], "kept": [kept]})
+        spans, kept = [], text
+        if len(first):
+            change = np.zeros(len(text) + 1, dtype=np.int32)
+            np.add.at(change, first, 1)
+            np.add.at(change, first + n + LEAST - 1, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+            spans = [{"start": a, "length": b - a} for a, b in edges.reshape(-1, 2).tolist()]
+            kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+        self.held.append((None if doc == NO_ID else doc, len(text), spans, kept))
+        self.size += len(text) + 200
+        return self.end() if self.size >= self.flush else None
 
     def end(self):
-        return None
+        if not self.held:
+            return None
+        out = pd.DataFrame(self.held, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object)
+        self.held, self.size = [], 0
+        return out.astype({"doc_id": "Int64", "n_bytes": "int64"})
 
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket_bytes: int = 4 << 20, sample: int = 65_536, seed: int = 29) -> DataFrame:

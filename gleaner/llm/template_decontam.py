@@ -29,7 +29,7 @@ class Tokens(dict):
     and 0 for a word without a letter or digit; remembered for the words seen lately."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         core = word.strip(PUNCTUATION)
         lower = core.lower()
