@@ -48,7 +48,6 @@ TIMESTAMP_SHAPES = [
 NUMBER_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 # Limits and thresholds.
-MAX_FILE_BYTES = 10 * 1024 * 1024
 KEYWORD_CHUNK = 4_000
 SUMMARY_CHUNK = 4_500
 SUMMARY_CHUNKS = 12

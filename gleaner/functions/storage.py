@@ -33,7 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a few files spread over all tasks; tables of many files are left as they are."""
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+    """Rows that a scan would read in fewer tasks than there are cores, spread over all of them."""
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
         return df.repartition(*keys)
     return df

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.columns import number
 from gleaner.operators.profile import _exact_or_narrowed, value_counts
 from gleaner.operators.schema import Roles
 
@@ -14,7 +15,7 @@ CHARTS_PER_GROUP = 4
 
 def histogram_bins(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts in equal-width bins from minimum to maximum; empty bins are kept, the maximum is in the last."""
-    value = F.col(column).cast("double")
+    value = number(column)
     edges = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
     if edges["low"] is None:
         return df.limit(0).select(
@@ -42,7 +43,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     found = df.agg(*[q.alias(f"{n}{i}") for i, c in enumerate(columns) for n, q in zip(("q1", "q2", "q3"), quartiles[c])]).first()
     parts = []
     for i, c in enumerate(columns):
-        value, q1, q3 = F.col(c).cast("double"), found[f"q1{i}"], found[f"q3{i}"]
+        value, q1, q3 = number(c), found[f"q1{i}"], found[f"q3{i}"]
         reach = 1.5 * ((q3 or 0.0) - (q1 or 0.0))
         inside = value.between((q1 or 0.0) - reach, (q3 or 0.0) + reach)
         parts += [
@@ -60,7 +61,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 def outlier_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """The rows drawn as single points in a box plot: beyond 1.5 interquartile ranges."""
     q1, _, q3 = box_quartiles(df, column)
-    value = F.col(column).cast("double")
+    value = number(column)
     reach = 1.5 * (q3 - q1)
     return df.where((value < q1 - reach) | (value > q3 + reach)).select(*keys, value.alias("value"))
 
@@ -72,7 +73,7 @@ def box_quartiles(df: DataFrame, column: str) -> tuple[float, float, float]:
 
 def ols_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line over all complete rows."""
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    a, b = number(x), number(y)
     return df.agg(
         F.regr_count(b, a).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"),
         F.regr_r2(b, a).alias("r2"))

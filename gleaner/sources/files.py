@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.fixed import FILE_KINDS, MAX_FILE_BYTES, MISSING_CELLS, NUMBER_SHAPE, REJECT_EMPTY, REJECT_KIND, REJECT_SIZE
+from gleaner.functions.fixed import FILE_KINDS, MISSING_CELLS, NUMBER_SHAPE, REJECT_EMPTY, REJECT_KIND, REJECT_SIZE
 from gleaner.functions.text import compact_text
 
 BYTE_ORDER_MARK = "\ufeff"
-WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"
+WHOLE_NUMBER = r"^[+-]?[0-9]{1,38}$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
 
@@ -21,8 +21,10 @@ def file_kind(path: Column) -> Column:
     return F.coalesce(F.try_element_at(kinds, extension), F.lit("unknown"))
 
 
-def file_inventory(spark: SparkSession, path: str, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """Every file below ``path`` with kind, size and, when it cannot be used, the reason. Contents are not read."""
+def file_inventory(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Every file below ``path`` with kind, size and, when it cannot be used, the reason. Contents are not read.
+
+    Files may have any size unless ``max_bytes`` sets a limit."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     # Scans skip empty files, but the file index lists them.
     names = [(unquote(name).replace("file:///", "file:/", 1),) for name in found.inputFiles()]
@@ -62,6 +64,7 @@ def infer_types(cells: DataFrame) -> DataFrame:
         cell = F.trim(c)
         checks += [
             F.count(c).alias(f"n_{c}"), F.count_if(cell.rlike(WHOLE_NUMBER)).alias(f"w_{c}"),
+            F.count_if(cell.rlike(WHOLE_NUMBER) & cell.try_cast("bigint").isNull()).alias(f"l_{c}"),
             F.count_if(cell.rlike(NUMBER_SHAPE) | cell.rlike(INFINITE)).alias(f"d_{c}"),
             F.count_if(F.lower(cell).isin("true", "false")).alias(f"b_{c}")]
     row = held.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
@@ -69,8 +72,11 @@ def infer_types(cells: DataFrame) -> DataFrame:
     for c, name in zip(held.columns, names):
         n, cell = row[f"n_{c}"], F.trim(c)
         if n and row[f"w_{c}"] == n:
-            # Whole numbers with gaps become doubles, as missing values are not whole numbers.
-            value = cell.cast("bigint") if n == row["rows"] else cell.cast("bigint").cast("double")
+            # Whole numbers with gaps become doubles, as missing values are not whole numbers; longer ones keep all digits.
+            if row[f"l_{c}"]:
+                value = cell.cast("decimal(38,0)")
+            else:
+                value = cell.cast("bigint") if n == row["rows"] else cell.cast("bigint").cast("double")
         elif n and row[f"d_{c}"] == n:
             value = F.when(cell.rlike(INFINITE), F.when(cell.startswith("-"), float("-inf")).otherwise(float("inf"))) \
                 .otherwise(cell.try_cast("double"))

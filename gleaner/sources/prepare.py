@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from gleaner.functions.columns import finite
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -22,17 +23,10 @@ def unique_names(names: list[str]) -> list[str]:
     return result
 
 
-def prepare_table(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Unique names, infinities and NaN as null, columns without values dropped; with warnings.
-
-    ``max_rows`` keeps the first rows only, as a preview; by default all rows stay.
-    """
+def prepare_table(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Unique names, infinities and NaN as null, columns without values dropped; with warnings. All rows stay."""
     warnings = []
-    frame = df.toDF(*unique_names(df.columns))
-    floating = [f.name for f in frame.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    infinite = [float("inf"), float("-inf")]
-    frame = frame.withColumns({
-        c: F.when(~F.isnan(F.col(f"`{c}`")) & ~F.col(f"`{c}`").isin(infinite), F.col(f"`{c}`")) for c in floating})
+    frame = finite(df.toDF(*unique_names(df.columns)))
     counts = frame.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(frame.columns)]).first()
     empty = [c for i, c in enumerate(frame.columns) if counts[f"n{i}"] == 0]
     if empty:
@@ -40,7 +34,4 @@ def prepare_table(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame
         warnings.append(f"Dropped {len(empty)} empty column(s).")
     if not frame.columns:
         raise ValueError("The table contains no usable rows.")
-    if max_rows is not None:
-        frame = frame.limit(max_rows)
-        warnings.append(f"Loaded the first {max_rows:,} rows for performance.")
     return frame, warnings

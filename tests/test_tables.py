@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import anomalies, charts, groups, isolation, profile, quantiles, schema, trends
 from gleaner.plans.tables import analyse_table
-from gleaner.sources import prepare
+from gleaner.sources import files, prepare
 
 
 def rows(df, *columns):
@@ -253,3 +253,26 @@ def test_chart_list():
         ("category", "share", "g"), ("category", "bar", "g"),
         ("advanced", "box", "a"), ("advanced", "box", "b"), ("advanced", "heatmap", ""), ("advanced", "outliers", "a b")]
     assert charts.chart_list(schema.Roles(["a"], [], []), [], False, False) == [("primary", "histogram", "a"), ("advanced", "box", "a")]
+
+
+def test_nan_and_infinity_count_as_missing(spark):
+    rows = [(i, float(i % 7)) for i in range(200)] + [(200, float("nan")), (201, float("inf"))]
+    df = spark.createDataFrame(rows, "id long, x double")
+    clean = spark.createDataFrame(rows[:200], "id long, x double")
+    assert anomalies.zscore_anomalies(df, ["x"]).count() == 0
+    dirty, plain = (analyse_table(d, ["id"], forest=False).stats.drop("missing").first().asDict() for d in (df, clean))
+    assert {k: v for k, v in dirty.items() if "miss" not in k and "null" not in k} == {k: v for k, v in plain.items() if "miss" not in k and "null" not in k}
+
+
+def test_long_whole_numbers_keep_their_digits(spark):
+    cells = spark.createDataFrame([("1234567890123456789", "12345678901234567890"), ("1234567890123456788", "12345678901234567891")], "a string, b string")
+    typed = files.infer_types(cells)
+    assert dict(typed.dtypes) == {"a": "bigint", "b": "decimal(38,0)"}
+    assert {str(r["a"]) for r in typed.collect()} == {"1234567890123456789", "1234567890123456788"}
+    assert {str(r["b"]) for r in typed.collect()} == {"12345678901234567890", "12345678901234567891"}
+
+
+def test_files_of_any_size_are_usable_by_default(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    assert files.file_inventory(spark, str(tmp_path)).first()["error"] is None
+    assert files.file_inventory(spark, str(tmp_path), max_bytes=1).first()["error"]

@@ -164,6 +164,11 @@ def test_cosine_blocks_agree(spark):
     assert whole == split and whole and 99 not in {t for t, _, _ in whole}
 
 
+def shared_words(a, b):
+    a, b = {w for w in a.lower().split(" ") if w}, {w for w in b.lower().split(" ") if w}
+    return sum(w in b for w in a) / max(len(a), len(b), 1)
+
+
 def brute_rank(insights, limit):
     top = max(i["score"] for i in insights) or 1.0
     ordered = sorted(insights, key=lambda i: (-round(i["score"] / top, 4), i["ordinal"]))
@@ -172,7 +177,7 @@ def brute_rank(insights, limit):
         if len(kept) == limit:
             break
         if not any(SequenceMatcher(None, i["title"].lower(), k["title"].lower()).ratio() >= 0.72
-                   and ranking.word_overlap(i["description"], k["description"]) > 0.55 for k in kept):
+                   and shared_words(i["description"], k["description"]) > 0.55 for k in kept):
             kept.append(i)
     return [k["ordinal"] for k in kept]
 
@@ -273,3 +278,13 @@ def test_texts_and_inventory(spark, tmp_path):
 def test_union_of_like_tables(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, "y")], "k int, b string")
     assert sorted(map(tuple, files.union_tables([a, b]).collect())) == [(1, "x", None), (2, None, "y")]
+
+
+@pytest.mark.parametrize("chunks", [1, 12, 13, 24, 25])
+def test_corpus_summary_has_the_wanted_sentences(spark, chunks):
+    """The number of sentences does not depend on how many parts a body has."""
+    rng = np.random.default_rng(chunks)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
+    rows = [(i, " ".join(" ".join(rng.choice(words, 12)).capitalize() + "." for _ in range(30))) for i in range(chunks)]
+    found = summaries.corpus_summary(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").first()["summary"]
+    assert len([s for s in found.split(".") if s.strip()]) == (2 if chunks == 1 else 4)
