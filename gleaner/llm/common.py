@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import materialise
@@ -11,6 +11,14 @@ from gleaner.functions.storage import materialise
 CHUNK_BITS = 15
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Texts are long, so Python workers get at most so many rows and bytes of them at a time. Smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 class Screen:
     """A bit field of fixed size over 64-bit keys: it lets through every key it was made of, and few others.
 
@@ -43,13 +51,6 @@ class Screen:
         place = _place(keys, self.bits)
         return field[place >> 3] >> (place & 7).astype(np.uint8) & 1 != 0
 
-    def keep(self, df: DataFrame, column: str) -> DataFrame:
-        @F.pandas_udf("boolean")
-        def passed(keys: pd.Series) -> pd.Series:
-            return pd.Series(self.passes(keys.to_numpy(np.int64)))
-
-        return df.where(F.col(column).isNotNull()).where(passed(F.col(column).cast("long")))
-
 
 def _place(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.astype(np.int64).view(np.uint64) * np.uint64(11400714819323198485) >> np.uint64(64 - bits)).astype(np.int64)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_batches
+
 # Patterns of the base scan, with letters of the keywords in either case.
 KEYWORDS = "password", "passwd", "secret", "token", "apikey", "api_key"
 ASSIGN = re.compile(
@@ -101,6 +103,7 @@ def find_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", least
 
     Null and empty texts have no span; null ids and repeated rows are kept as they are; an empty table gives no rows; further
     columns are ignored."""
+    bounded_batches(docs.sparkSession)
     spans = "array<struct<start:int,end:int,kind:string,bits:double>>"
 
     @F.pandas_udf(spans)
@@ -123,6 +126,8 @@ def digest_columns(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bits: float = 28.0) -> DataFrame:
     """``docs`` with every secret of the text column (of assignments, the value) replaced by ``mark``; other texts and columns stay as they are."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, least_bits, mark) for t in texts], dtype=object)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_batches
+
 SIZE, SYMBOLS, SEED = 512, 96, 11
 #: Trigrams whose vectors are held at once.
 PART = 8192
@@ -103,6 +105,7 @@ def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
 
     Rows whose crc32 of the id as text leaves 1 modulo 3 are held out; the prototypes are learned from all others. Null ids are
     not held out; repeated rows are kept; an empty table gives no rows; further columns are ignored."""
+    bounded_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col(f"`{doc}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     prototypes = learn(docs.where(~held), text, lang)
     return docs.select(F.col(f"`{doc}`").alias("doc_id"), held.alias("held_out"), predict(F.col(f"`{text}`"), prototypes).alias("p")).select(

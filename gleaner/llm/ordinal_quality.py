@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import materialise
+from gleaner.llm.common import bounded_batches
 
 BUCKETS = 1 << 18
 STRIP = ".,;:!?\"'()[]{}<>«»|*%&$#@~^_=+-/\\`"
@@ -95,6 +96,8 @@ def fit(docs: DataFrame, grades: DataFrame, doc: str = "doc_id", text: str = "te
     the worst from the others most are chosen, ``keep`` of them at most; each chosen bucket has to occur in ``least_rows`` rated
     documents. None if no document is rated."""
 
+    bounded_batches(docs.sparkSession)
+
     def rows(frames):
         buckets = Buckets()
         for frame in frames:

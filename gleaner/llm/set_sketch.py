@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import materialise
-from gleaner.llm.common import Screen, components
+from gleaner.llm.common import Screen, bounded_batches, components
 
 #: Shingles whose register values are computed at once.
 PART = 1024
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     Null and empty texts have the empty set and no link; a document without an id takes the component of the documents with its
     very set, else null, and is kept if null; rows that share an id are one document; repeated rows are returned as often as they come; an
     empty table gives no rows; further columns are ignored. Texts may have any length."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     m = bands * rows
 
@@ -233,13 +234,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     def bodies(frames):
         words, (a, b) = Words(), multipliers(m, seed)
         for frame in frames:
+            frame = frame[screen.passes(frame["doc_id"].to_numpy(np.int64))]
             sets = [shingle_set(t, words, size) for t in frame["text"]]
             keep = [len(s) > 0 for s in sets]
             sets = [s for s in sets if len(s)]
             yield pd.DataFrame({"id": frame["doc_id"][keep], "n": [len(s) for s in sets], "regs": [registers(s, a, b).tobytes() for s in sets],
                                 "grams": [packed(s) for s in sets]})
 
-    body = materialise(screen.keep(ids, "doc_id").mapInPandas(bodies, "id long, n long, regs binary, grams binary"), "bodies")
+    body = materialise(ids.where("doc_id is not null").mapInPandas(bodies, "id long, n long, regs binary, grams binary"), "bodies")
     nearest = members.where("id <> least").groupBy("id").agg(F.min("least").alias("a")).select("a", F.col("id").alias("b"))
     links = materialise(_verify(nearest, body, percent, margin), "links")
     # Rows that share an id are one document, whatever their sets.

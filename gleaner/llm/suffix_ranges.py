@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import materialise
+from gleaner.llm.common import bounded_batches
 
 LEAST, LEAD = 50, 20
 WINDOW = LEAST - LEAD + 1
@@ -374,6 +375,7 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", buc
     Null texts are empty; a null id is larger than all others; rows that share an id don't remove each other's bytes; texts shorter
     than ``LEAST`` stay; an empty table gives no rows; further columns are ignored. Buckets and shares of texts number one for each
     ``bucket_bytes`` of text, which bounds what a task holds at once, next to a single text."""
+    bounded_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(F.lit(seed), F.col(f"`{doc}`"), body).alias("uid"), F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(NO_ID)).alias("doc"), body.alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.lit(0)).alias("n")).first()["n"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import materialise
-from gleaner.llm.common import Screen
+from gleaner.llm.common import Screen, bounded_batches
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…"
 ENDS = (".", "!", "?", ":", ".\"", "!\"", "?\"")
@@ -110,6 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     Null ids and texts and texts without words match nothing; a text or item of fewer than ``width`` words is one window, so short
     ones match only as a whole; repeated rows of a document give one row; repeated item ids are taken as one item; empty tables
     give no rows; further columns are ignored."""
+    bounded_batches(docs.sparkSession)
     pick = lambda df, i, t: df.select(F.col(f"`{i}`").cast("long").alias("id"), F.col(f"`{t}`").cast("string").alias("text"))
     asked = materialise(_windows(pick(benchmark, item, item_text), width, None), "items").withColumnsRenamed(
         {"id": "item_id", "at": "item_at", "slots": "item_slots"}).drop("n")

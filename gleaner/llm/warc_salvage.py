@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_batches
+
 # Marks of the WARC and gzip formats.
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,6 +59,8 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
     payload, if there is one; rows that repeat the smallest page_id are all responses; an empty table writes no record; further
     columns are ignored."""
 
+    bounded_batches(pages.sparkSession)
+
     def members(frames):
         for frame in frames:
             clean = frame.astype(object).where(frame.notna(), None)
@@ -156,6 +160,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Archives may be gzip by record, plain, or both; an archive is read by one task, so the writer bounds its records. A file
     without a byte gives no row. A folder without archives gives no rows."""
 
+    bounded_batches(spark)
+
     def rows(frames):
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"]):
