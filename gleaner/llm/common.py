@@ -38,8 +38,9 @@ class Screen:
 
         def packed(frames):
             for frame in frames:
-                yield pd.DataFrame({"chunk": frame["chunk"], "field": [
-                    np.packbits(np.bincount(np.asarray(low), minlength=size) > 0, bitorder="little").tobytes() for low in frame["low"]]})
+                if len(frame):
+                    yield pd.DataFrame({"chunk": frame["chunk"], "field": [
+                        np.packbits(np.bincount(np.asarray(low), minlength=size) > 0, bitorder="little").tobytes() for low in frame["low"]]})
 
         field = bytearray(1 << bits - 3)
         for row in chunks.mapInPandas(packed, "chunk long, field binary").toLocalIterator():

@@ -101,7 +101,8 @@ def fit(docs: DataFrame, grades: DataFrame, doc: str = "doc_id", text: str = "te
     def rows(frames):
         buckets = Buckets()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"], "buckets": [features(t or "", buckets) for t in frame["text"]]})
+            if len(frame):
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"], "buckets": [features(t or "", buckets) for t in frame["text"]]})
 
     drawn = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(
         F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)

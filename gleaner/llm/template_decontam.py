@@ -92,7 +92,8 @@ def _windows(texts: DataFrame, width: int, screen: Screen | None) -> DataFrame:
                     ats += at.tolist()
                     hashes += found[at].tolist()
                     slots += [[f"{kind[j]}{words[j].strip(PUNCTUATION)}" for j in range(a, a + w) if kind[j]] for a in at]
-            yield pd.DataFrame({"id": ids, "at": ats, "hash": hashes, "n": ns, "slots": slots})
+            if ids:
+                yield pd.DataFrame({"id": ids, "at": ats, "hash": hashes, "n": ns, "slots": slots})
 
     return texts.dropna().mapInPandas(rows, ROWS)
 
