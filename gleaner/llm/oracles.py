@@ -32,7 +32,3 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
            else length('<|next|>') end)::bigint as formatted_chars
 from s group by conv_id
 """
-
-REPEATS_SQL = None
-
-NEAR_SQL = None
