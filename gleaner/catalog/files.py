@@ -22,6 +22,21 @@ def csv_scan(spark, folder):
     return files.scan_csv(spark, path)
 
 
+@query("csv_mixed_folder", """select event_id, 1000000000000000000 + event_id as long_id, 'caf' || chr(233) || ' ' || event_type as label,
+ case when event_id % 3 <> 1 then value end as value from events""")
+def csv_mixed_folder(spark, folder):
+    """Files with a byte-order mark, in Latin-1 without one of the columns, and in UTF-8 with the columns in another order."""
+    path = fresh_path(spark, "mixed")
+    events = table(spark, folder, "events").select(
+        "event_id", (F.col("event_id") + 1_000_000_000_000_000_000).alias("long_id"),
+        F.concat(F.lit("caf\u00e9 "), "event_type").alias("label"), "value")
+    part = lambda k: events.where(F.col("event_id") % 3 == k)
+    part(0).withColumnRenamed("event_id", files.BYTE_ORDER_MARK + "event_id").write.option("header", True).csv(path)
+    part(1).drop("value").write.mode("append").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    part(2).select("value", "label", "event_id", "long_id").write.mode("append").option("header", True).csv(path)
+    return files.scan_csv(spark, path)
+
+
 @query("text_scan", r"""select item_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\A\s+|\s+\z', '', 'g') as text from benchmark""")
 def text_scan(spark, folder):
     path = fresh_path(spark, "texts")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.catalog import query, table
+from gleaner.functions.columns import finite, named
 from gleaner.operators import anomalies, charts, groups, isolation, profile, schema, trends
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -39,6 +40,39 @@ def numeric_stats(spark, folder):
     return rounded(profile.numeric_stats(lineitem(spark, folder), MEASURES))
 
 
+DIRTY = ["Amt. USD", "No.", "Share `%`"]
+DIRTY_SQL = """lines as (select event_id as id, case when event_type not in ('error', 'click', 'view') then value end as "Amt. USD",
+ user_id::double as "No.", case when user_id % 7 > 0 then user_id % 7 end::double as "Share `%`" from events)"""
+
+
+def dirty_events(spark, folder):
+    """Events with infinities and NaN for some values, and column names of dots and backticks."""
+    kind = F.col("event_type")
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        F.when(kind == "error", float("inf")).when(kind == "click", float("nan")).when(kind == "view", float("-inf")).otherwise(F.col("value"))
+        .alias("Amt. USD"), F.col("user_id").cast("double").alias("No."),
+        F.when(F.col("user_id") % 7 > 0, (F.col("user_id") % 7).cast("double")).otherwise(float("nan")).alias("Share `%`"))
+
+
+@query("dirty_table_stats", f"with {DIRTY_SQL} " + " union all ".join(f"""
+select {i} as ordinal, '{c}' as "column", round(avg("{c}"), 4) as mean, round(median("{c}"), 4) as median,
+ round(stddev_pop("{c}"), 4) as std, round(coalesce(skewness("{c}"), 0), 4) as skew, round(min("{c}"), 4) as min,
+ round(max("{c}"), 4) as max, round(100.0 * (count(*) - count("{c}")) / count(*), 4) as missing_pct from lines"""
+    for i, c in enumerate(DIRTY)))
+def dirty_table_stats(spark, folder):
+    return rounded(profile.numeric_stats(dirty_events(spark, folder), DIRTY))
+
+
+@query("dirty_table_anomalies", f"with {DIRTY_SQL}, stats as (select " + ", ".join(
+    f"""avg("{c}") as m{i}, stddev_pop("{c}") as s{i}""" for i, c in enumerate(DIRTY)) + """ from lines)
+select id, """ + ", ".join(f'round("{c}", 4) as "{c}"' for c in DIRTY) + " from lines, stats where " + " or ".join(
+    f"""coalesce(abs("{c}" - m{i}) / s{i} > 3, false)""" for i, c in enumerate(DIRTY)))
+def dirty_table_anomalies(spark, folder):
+    found = finite(anomalies.zscore_anomalies(dirty_events(spark, folder), DIRTY))
+    return found.select("id", *[F.round(named(c), 4).alias(c) for c in DIRTY])
+
+
 LINEITEM_TYPES = {
     "l_orderkey": ("bigint", "numerical"), "l_partkey": ("bigint", "numerical"), "l_suppkey": ("bigint", "numerical"),
     "l_linenumber": ("int", "numerical"), "l_quantity": ("double", "numerical"), "l_extendedprice": ("double", "numerical"),

@@ -10,6 +10,10 @@ def named(column: str) -> Column:
     return F.col(f"`{column.replace('`', '``')}`")
 
 
+def all_named(columns: list[str]) -> list[Column]:
+    return [named(c) for c in columns]
+
+
 def number(column: str) -> Column:
     """The column as a double; NaN and infinities count as missing."""
     value = named(column).cast("double")

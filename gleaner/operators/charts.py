@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import number
+from gleaner.functions.columns import all_named, named, number
 from gleaner.operators.profile import _exact_or_narrowed, value_counts
 from gleaner.operators.schema import Roles
 
@@ -63,7 +63,7 @@ def outlier_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     q1, _, q3 = box_quartiles(df, column)
     value = number(column)
     reach = 1.5 * (q3 - q1)
-    return df.where((value < q1 - reach) | (value > q3 + reach)).select(*keys, value.alias("value"))
+    return df.where((value < q1 - reach) | (value > q3 + reach)).select(*all_named(keys), value.alias("value"))
 
 
 def box_quartiles(df: DataFrame, column: str) -> tuple[float, float, float]:
@@ -81,12 +81,12 @@ def ols_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def scatter_points(df: DataFrame, order_by: list[str], x: str, y: str, points: int = SCATTER_POINTS) -> DataFrame:
     """The first complete rows in order, as many as a scatter chart draws."""
-    return df.dropna(subset=[x, y]).orderBy(*order_by).limit(points).select(*order_by, x, y)
+    return df.where(number(x).isNotNull() & number(y).isNotNull()).orderBy(*all_named(order_by)).limit(points).select(*all_named([*order_by, x, y]))
 
 
 def line_points(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Raw date and metric of every complete row, in date order."""
-    return df.select(date, metric).dropna().orderBy(date, metric)
+    return df.where(named(date).isNotNull() & number(metric).isNotNull()).select(named(date), named(metric)).orderBy(named(date), named(metric))
 
 
 def heatmap_cells(matrix: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def heatmap_cells(matrix: DataFrame) -> DataFrame:
 def anomaly_points(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """The reported outlier rows as points, sized by the distance of their score from the cut-off."""
     return rows.select(
-        *keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col("_isolation_anomaly").alias("flagged"),
+        *all_named(keys), named(x).alias("x"), named(y).alias("y"), F.col("_isolation_anomaly").alias("flagged"),
         F.abs("_anomaly_score").alias("size"))
 
 

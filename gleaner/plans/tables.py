@@ -4,7 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from gleaner.functions.columns import finite
+from gleaner.functions.columns import all_named, finite
 from gleaner.functions.fixed import depth_limits
 from gleaner.functions.storage import materialise
 from gleaner.operators import anomalies, groups, insights, isolation, profile, ranking, schema, trends
@@ -21,7 +21,7 @@ class TableAnalysis:
         self.keys, self.depth, self.forest = keys, depth, forest
         wanted = columns or [c for c in df.columns if c not in keys]
         carried = [k for k in keys if k not in wanted]
-        self.table, found = schema.detect_roles(finite(df.select(*carried, *wanted)))
+        self.table, found = schema.detect_roles(finite(df.select(*all_named([*carried, *wanted]))))
         self.roles = schema.Roles(*[[c for c in role if c in wanted] for role in (found.numerical, found.categorical, found.datetime)])
         self._measured = self.table.drop(*carried)
 

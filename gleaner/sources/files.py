@@ -10,6 +10,9 @@ from gleaner.functions.fixed import FILE_KINDS, MISSING_CELLS, NUMBER_SHAPE, REJ
 from gleaner.functions.text import compact_text
 
 BYTE_ORDER_MARK = "\ufeff"
+# The same three bytes of UTF-8 read as Latin-1.
+LATIN_ORDER_MARK = "\u00ef\u00bb\u00bf"
+GLOB_MARKS = "*?[{"
 WHOLE_NUMBER = r"^[+-]?[0-9]{1,38}$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
@@ -40,18 +43,40 @@ def file_inventory(spark: SparkSession, path: str, max_bytes: int | None = None)
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """CSV with a header: UTF-8 or else Latin-1, missing-value cells as null, columns numeric where every value is.
+    """CSV with a header: missing-value cells as null, columns numeric where every value is.
 
+    Each file is UTF-8 or else Latin-1 and has a header of its own: files that agree in both are read together, and the
+    groups are stacked by column name, so that columns may come in any order or be absent (null) from some files.
     All cells are read as text once to decide types, in one aggregate, and again for the typed result.
     ``multiline`` accepts line breaks inside quotes, at the price of one task per file.
     """
-    lines = spark.read.text(path)
-    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
-    cells = reader.option("encoding", "ISO-8859-1" if broken else "UTF-8").csv(path)
-    # A byte-order mark belongs to no column name.
-    cells = cells.toDF(*[c.removeprefix(BYTE_ORDER_MARK) for c in cells.columns])
-    return infer_types(cells)
+    found = file_formats(spark, path)
+    kinds = found.groupBy("latin", "header").agg(F.min("file").alias("first")).orderBy("first").collect()
+    tables = []
+    for kind in kinds:
+        # One kind of file is read by the path itself; the files of several kinds are told apart by name.
+        files, source = path, reader.option("encoding", "ISO-8859-1" if kind["latin"] else "UTF-8")
+        if len(kinds) > 1:
+            same = found.where((F.col("latin") == F.lit(kind["latin"])) & (F.col("header") == F.lit(kind["header"])))
+            files = [unquote(r["file"]) for r in same.select("file").orderBy("file").collect()]
+            source = source if set(path) & set(GLOB_MARKS) else source.option("basePath", path)
+        cells = source.csv(files)
+        # A byte-order mark belongs to no column name; Latin-1 shows its three bytes as letters.
+        tables.append(cells.toDF(*[c.removeprefix(BYTE_ORDER_MARK).removeprefix(LATIN_ORDER_MARK) for c in cells.columns]))
+    return infer_types(union_tables(tables) if tables else reader.csv(path))
+
+
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``latin`` (it isn't valid UTF-8) and ``header`` (its first line that isn't blank) of every text file, in one scan.
+
+    Lines of a file's first block come in order, so the least row id among them is the first line's."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    text = F.trim(F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), f"^{LATIN_ORDER_MARK}|\\r$", ""))
+    at = F.when((F.col("block") == 0) & (text != ""), F.monotonically_increasing_id())
+    return lines.select("file", (~F.is_valid_utf8("value")).alias("bad"), F.when(at.isNotNull(), text).alias("line"), at.alias("at")) \
+        .groupBy("file").agg(F.bool_or("bad").alias("latin"), F.min_by("line", "at").alias("header")).where("header is not null")
 
 
 def infer_types(cells: DataFrame) -> DataFrame:

@@ -276,3 +276,24 @@ def test_files_of_any_size_are_usable_by_default(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
     assert files.file_inventory(spark, str(tmp_path)).first()["error"] is None
     assert files.file_inventory(spark, str(tmp_path), max_bytes=1).first()["error"]
+
+
+def test_any_column_name(spark):
+    day = dt.datetime(2024, 1, 1)
+    data = [(i, float(i % 11) if i % 50 else float("nan"), float(i) if i != 7 else float("inf"), "ab"[i % 2], day + dt.timedelta(days=i), f"2024-01-{i % 28 + 1:02d}")
+            for i in range(300)]
+    names = ["Row. id", "Amt. USD", "No.", "Kind `x`", "When. at", "Day. text"]
+    plain_names = ["id", "a", "b", "c", "d", "e"]
+    odd, plain = (analyse_table(spark.createDataFrame(data, n), [n[0]]) for n in (names, plain_names))
+    assert odd.roles == schema.Roles(names[1:3], names[3:4], names[4:])
+    for result in ("kpis", "schema", "missing", "stats", "categories", "groups", "trends", "correlation", "top_correlation",
+                   "anomaly_summary", "anomaly_rows", "insights", "ranked"):
+        assert getattr(odd, result).count() == getattr(plain, result).count(), result
+    table, (key, a, b, kind, when, _) = odd.table, names
+    for df in (profile.describe_all(table, odd.roles), profile.column_summary(table, [key]), schema.schema_profile(table),
+               schema.loose_coerce(table), trends.datetime_trend(table, [when], [a, b]), trends.index_trend(table, [key], [a, b]),
+               charts.histogram_bins(table, a), charts.box_stats(table, [a, b]), charts.outlier_points(table, [key], a),
+               charts.ols_fit(table, a, b), charts.scatter_points(table, [key], a, b), charts.line_points(table, when, a),
+               charts.category_share(table, [kind]), charts.anomaly_points(odd.anomaly_rows, [key], a, b), anomalies.zscore_matrix(table, [key], [a, b])):
+        assert df.count() > 0 or df.columns == [key, "value"]
+    assert quantiles.exact_quantiles(table, [a], [0.5], 10)[a][0] == pytest.approx(np.median([r[1] for r in data if r[1] == r[1]]))

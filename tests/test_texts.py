@@ -249,6 +249,18 @@ def test_whole_analysis(spark):
     assert each.ranked.where("title = 'Document Summary'").count() == 2
 
 
+def test_csv_files_differ_in_encoding_and_header(spark, tmp_path):
+    folder = tmp_path / "mixed folder"
+    folder.mkdir()
+    (folder / "a 1.csv").write_bytes("\ufeffid,name\n1,caf\u00e9\n".encode())
+    (folder / "b%.csv").write_bytes("\nname,id\r\nth\u00e9,2\r\n".encode())
+    (folder / "c.csv").write_bytes("id,name,more\n3,na\u00efve,x\n".encode("latin-1"))
+    (folder / "d.csv").write_bytes(b"")
+    df = files.scan_csv(spark, str(folder))
+    assert df.columns == ["id", "name", "more"]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "caf\u00e9", None), (2, "th\u00e9", None), (3, "na\u00efve", "x")]
+
+
 def test_csv_latin1_marks_and_missing(spark, tmp_path):
     plain = tmp_path / "plain.csv"
     plain.write_bytes("﻿date,reg,v,w,k\n2024-01-01,A,1,inf,1\n2024-01-02,NA,2.5,,2\n2024-01-03,\"x, \"\"y\"\"\",n/a,3,3\n".encode("utf-8"))
