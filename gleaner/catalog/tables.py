@@ -410,6 +410,27 @@ def loose_coerce(spark, folder):
     return schema.loose_coerce(raw)
 
 
+@query("describe_datetimes", " union all ".join(f"""select '{c}' as "column", count({c}) as count,
+ date_trunc('second', make_timestamp(avg(epoch_us({c}::timestamp))::bigint)) as mean, {", ".join(
+    f"date_trunc('second', quantile_cont({c}::timestamp, {p})) as {n}" for n, p in (("min", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("max", 1.0)))}
+ from {t}""" for c, t in (("o_orderdate", "orders"), ("ts", "events"))))
+def describe_datetimes(spark, folder):
+    found = [profile.describe_datetimes(table(spark, folder, t), [c]) for c, t in (("o_orderdate", "orders"), ("ts", "events"))]
+    times = [F.date_trunc("second", c).cast("timestamp_ntz").alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")]
+    return found[0].unionByName(found[1]).select("column", "count", *times)
+
+
+@query("offset_times", """select event_id, date_trunc('second', ts) as ts, date_trunc('day', ts) as day, date_trunc('month', ts) as month from events""")
+def offset_times(spark, folder):
+    """Times told in three zones, days without separators, and months, read back in UTC."""
+    ts, k = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 3
+    told = lambda hours, tail: F.concat(F.date_format(ts + F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(tail))
+    raw = table(spark, folder, "events").select(
+        "event_id", F.when(k == 0, told(0, "Z")).when(k == 1, told(2, "+02:00")).otherwise(told(-5, ".0-0500")).alias("ts"),
+        F.date_format(ts, "yyyyMMdd").alias("day"), F.date_format(ts, "yyyy-MM").alias("month"))
+    return schema.coerce_datetimes(raw)
+
+
 @query("datetime_coercion", """select o_orderkey, case when o_orderstatus <> 'F' or o_orderpriority <> '1-URGENT' then o_orderdate end as mostly_date,
  case when o_orderstatus = 'O' then strftime(o_orderdate, '%Y-%m-%d') else o_orderstatus end as some_dates from orders""")
 def datetime_coercion(spark, folder):

@@ -44,7 +44,11 @@ TIMESTAMP_SHAPES = [
     (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
     (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
     (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])", "yyyyMMdd"),
+    (r"\d{4}-\d{2}", "yyyy-MM"),
 ]
+# The offset behind a time of day, Z or hours and minutes; such times are told in UTC.
+OFFSET_SHAPE = r"(?<=:\d{2}|\.\d{1,6})\s?(Z|[+-]\d{2}:?\d{2})$"
 NUMBER_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 # Limits and thresholds.
@@ -66,6 +70,10 @@ ENTITY_IMPORTANCE = 0.40
 TITLE_SIMILARITY = 0.72
 DESCRIPTION_OVERLAP = 0.55
 
+# Messages where outliers can't be looked for.
+NO_NUMBERS = "No numeric columns are available for anomaly detection."
+FEW_NUMBERS = "Not enough numeric rows are available for anomaly detection."
+
 # Messages for rejected files.
 REJECT_EMPTY = "The uploaded file is empty."
 REJECT_SIZE = "The uploaded file exceeds the 10MB size limit."

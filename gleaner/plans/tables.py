@@ -85,6 +85,10 @@ class TableAnalysis:
         nums = self.roles.numerical
         return materialise(anomalies.anomaly_summary(self.table, nums, self.flagged), "anomalies") if nums else None
 
+    @cached_property
+    def anomaly_warning(self) -> str | None:
+        return anomalies.guard_warning(self.table, self.roles.numerical)
+
     @cached_property
     def anomaly_rows(self) -> DataFrame | None:
         return None if self.flagged is None else isolation.anomaly_rows(self.table, self.keys, self.roles.numerical, flagged=self.flagged)

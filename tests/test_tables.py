@@ -297,3 +297,18 @@ def test_any_column_name(spark):
                charts.category_share(table, [kind]), charts.anomaly_points(odd.anomaly_rows, [key], a, b), anomalies.zscore_matrix(table, [key], [a, b])):
         assert df.count() > 0 or df.columns == [key, "value"]
     assert quantiles.exact_quantiles(table, [a], [0.5], 10)[a][0] == pytest.approx(np.median([r[1] for r in data if r[1] == r[1]]))
+
+
+def test_times_with_offsets_and_other_shapes(spark):
+    texts = ["2024-03-01T00:30:00+02:00", "2024-03-01 00:30:00.5Z", "2024-03-01T00:30:00-0530", "20240301", "2024-03", "20241301", "12345678", "2024-01-05", "10:30:00Z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r["v"] for r in df.select("i", schema.parse_timestamp(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert found == [dt.datetime(2024, 2, 29, 22, 30), dt.datetime(2024, 3, 1, 0, 30, 0, 500000), dt.datetime(2024, 3, 1, 6, 0), dt.datetime(2024, 3, 1),
+                     dt.datetime(2024, 3, 1), None, None, dt.datetime(2024, 1, 5), None]
+
+
+def test_outlier_guards(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)], "id int, v double")
+    assert anomalies.guard_warning(df, ["v"]) is None
+    assert "numeric rows" in anomalies.guard_warning(df.limit(4), ["v"])
+    assert "numeric columns" in analyse_table(df.select("id", F.lit("a").alias("g")), ["id"], columns=["g"]).anomaly_warning
