@@ -10,7 +10,7 @@ from gleaner.catalog.texts import (
 from gleaner.catalog.texts import STATS_SQL as TEXT_STATS_SQL
 from gleaner.functions import labels
 from gleaner.functions.fixed import DOWN_WORDS, UP_WORDS
-from gleaner.operators import anomalies, fusion, groups, insights, keywords, matching, profile, ranking, trends
+from gleaner.operators import anomalies, charts, fusion, groups, insights, keywords, matching, profile, ranking, trends
 from gleaner.plans.links import global_ranking, link_findings
 from gleaner.plans.tables import analyse_table
 from gleaner.plans.texts import analyse_corpus, analyse_documents
@@ -250,6 +250,14 @@ def match_list(spark, folder):
     return link_findings(_event_table(spark, folder), text).matches
 
 
+@query("match_links", f"""with recursive {LINK_SQL}, listed as (
+ select doc_id, row_number() over (partition by doc_id order by ordinal)::int as rank, term, "column", round(match_score, 3) as score from linked)
+select doc_id, rank, term, case "column" when 'user_id' then 'User Id' when 'event_type' then 'Event Type' else upper("column"[1]) || "column"[2:] end as label,
+ floor(score * 100)::int as percent, 'difflib' as match_method from listed where rank <= 12""")
+def match_links(spark, folder):
+    return charts.match_links(match_list(spark, folder), ["doc_id"])
+
+
 @query("fusion_signals", f"""with recursive {LINK_SQL}, {CONTEXTS_SQL}, {DATA_SQL},
 said as (select doc_id, term, trim(regexp_replace(lower(string_agg(sentence, ' ' order by mention)), '[^a-z0-9]+', ' ', 'g')) as plain
  from contexts where rank <= 12 group by doc_id, term),

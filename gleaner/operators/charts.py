@@ -4,13 +4,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.columns import all_named, named, number
+from gleaner.functions.labels import humanize_label
 from gleaner.operators.profile import _exact_or_narrowed, value_counts
 from gleaner.operators.schema import Roles
 
-# Points of a scatter chart, terms of a keyword cloud, charts of a group.
+# Points of a scatter chart, terms of a keyword cloud, charts of a group, links beside a cloud.
 SCATTER_POINTS = 2_000
 CLOUD_TERMS = 12
 CHARTS_PER_GROUP = 4
+MATCH_LINKS = 12
 
 
 def histogram_bins(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -106,6 +108,12 @@ def keyword_cloud(keywords: DataFrame, keys: list[str], top: int = CLOUD_TERMS)
     return keywords.where(F.col("rank") <= top).select(*keys, "rank", "term", (0.5 + 0.5 * F.col("importance")).alias("weight"))
 
 
+def match_links(matches: DataFrame, keys: list[str], top: int = MATCH_LINKS) -> DataFrame:
+    """The first listed matches of terms and columns, as shown beside a keyword cloud: column label and whole percent."""
+    return matches.where(F.col("rank") <= top).select(
+        *all_named(keys), "rank", "term", humanize_label(F.col("column")).alias("label"), F.floor(F.col("score") * 100).cast("int").alias("percent"), "match_method")
+
+
 def chart_list(roles: Roles, trend_metrics: list[str], correlated: bool, outliers: bool) -> list[tuple[str, str, str]]:
     """(group, kind, column) of the charts a table gets: at most four per group, from its first columns."""
     nums, cats = roles.numerical, roles.categorical
