@@ -43,7 +43,7 @@ class Screen:
                         np.packbits(np.bincount(np.asarray(low), minlength=size) > 0, bitorder="little").tobytes() for low in frame["low"]]})
 
         field = bytearray(1 << bits - 3)
-        for row in chunks.mapInPandas(packed, "chunk long, field binary").toLocalIterator():
+        for row in chunks.mapInPandas(packed, "chunk long, field binary").collect():  # at most one field's bytes in all
             field[row["chunk"] * (size >> 3):(row["chunk"] + 1) * (size >> 3)] = row["field"]
         self.bits, self.sent = bits, keys.sparkSession.sparkContext.broadcast(bytes(field))
 

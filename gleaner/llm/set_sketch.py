@@ -143,8 +143,8 @@ def _across(open_bodies: DataFrame, groups: DataFrame, percent: int) -> DataFram
         yield pd.DataFrame({"place": at.astype(np.int32), "n": total[at]})
 
     rarity = np.zeros(COUNTERS, dtype=np.int64)
-    for row in open_bodies.select("grams").mapInPandas(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
-        rarity[row["place"]] = row["n"]
+    totals = open_bodies.select("grams").mapInPandas(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    rarity[totals["place"]] = totals["n"]  # one row per counter
     sent = open_bodies.sparkSession.sparkContext.broadcast(rarity)
 
     def prefixes(frames):
