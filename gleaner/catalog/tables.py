@@ -186,7 +186,7 @@ def top_correlation(spark, folder):
     return profile.top_correlation(with_constant(spark, folder), MEASURES + ["l_constant"])
 
 
-@query("describe_all", f"with {LINEITEM_SQL} " + per_column(["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], """
+@query("describe_all", f"with {LINEITEM_SQL} " + per_column([c for c, (_, role) in LINEITEM_TYPES.items() if role == "numerical"], """
 select '{c}' as "column", count({c}) as count, null::bigint as "unique", null::varchar as top, null::bigint as freq,
  round(avg({c}), 2) as mean, round(stddev_samp({c}), 2) as std, round(min({c})::double, 2) as min,
  round(quantile_cont({c}::double, 0.25), 2) as q25, round(quantile_cont({c}::double, 0.5), 2) as q50,
@@ -195,12 +195,15 @@ select '{c}' as "column", count({c}) as count, null::bigint as "unique", null::v
 select '{c}', sum(n)::bigint, count(*), arg_min(v, (-n, v)), max(n), null, null, null, null, null, null, null
  from (select {c} as v, count(*) as n from {source} where {c} is not null group by 1)"""))
 def describe_all(spark, folder):
-    return profile.describe_all(lineitem(spark, folder).drop("l_orderkey", "l_partkey", "l_suppkey"))
+    return profile.describe_all(lineitem(spark, folder))
 
 
-@query("column_summary", f"""with marked as (select event_id, ts, event_type, nullif(props, '{{"k": 69}}') as props, value from events)
+@query("column_summary", f"""with marked as (select event_id, date_trunc('second', ts) as ts, event_type, nullif(props, '{{"k": 69}}') as props, value, user_id from events)
 select 0 as ordinal, 'event_id' as "column", 'numerical' as role, round(avg(event_id), 4) as mean, min(event_id)::double as min,
  max(event_id)::double as max, null::bigint as "unique", count(event_id) as non_null, null::varchar as samples from marked
+union all select 4, 'ts', 'datetime', null, null, null, null, count(ts),
+ (select string_agg(ts::varchar, ', ' order by event_id) from (select * from marked order by event_id limit 3)) from marked
+union all select 5, 'user_id', 'numerical', round(avg(user_id), 4), min(user_id)::double, max(user_id)::double, null, count(user_id), null from marked
 union all select 1, 'event_type', 'categorical', null, null, null, count(distinct event_type), count(event_type),
  (select string_agg(event_type, ', ' order by event_id) from (select * from marked order by event_id limit 3)) from marked
 union all select 2, 'props', 'categorical', null, null, null, count(distinct props), count(props),
@@ -208,7 +211,8 @@ union all select 2, 'props', 'categorical', null, null, null, count(distinct pro
 union all select 3, 'value', 'numerical', round(avg(value), 4), min(value), max(value), null, count(value), null from marked""")
 def column_summary(spark, folder):
     df = table(spark, folder, "events").select(
-        "event_id", "event_type", F.nullif("props", F.lit('{"k": 69}')).alias("props"), "value")
+        "event_id", "event_type", F.nullif("props", F.lit('{"k": 69}')).alias("props"), "value",
+        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "user_id")
     return rounded(profile.column_summary(df, ["event_id"]))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gleaner.catalog import query, table
 from gleaner.functions import labels
 from gleaner.functions.fixed import KEYWORD_STOP_WORDS, TOKEN_STOP_WORDS
-from gleaner.functions.storage import spread
+from gleaner.functions.storage import materialise, spread
 from gleaner.functions.text import LINE_BREAK, SPACE, normalise_whitespace
 from gleaner.operators import charts, documents, keywords, summaries
 
@@ -161,20 +161,32 @@ def keyword_cloud(spark, folder):
     return found.withColumn("weight", F.round("weight", 6))
 
 
-@query("corpus_keywords", f"""with {SENTENCES_SQL},
+CORPUS_KEYWORDS_SQL = f"""{SENTENCES_SQL},
 tokens as (select doc_id, pos, {tokens_sql('sentence')} as t from clean),
 terms as (select doc_id, pos, unnest({bigrams_sql('t')}) as term from tokens),
 counts as (select doc_id, pos, term, count(*) as tf from terms group by all),
 vocabulary as (select term, count(*) as holding from counts group by term order by sum(tf) desc, term limit 500),
 weights as (select doc_id, pos, term, tf * (ln((1 + (select count(*) from clean)) / (1 + holding)) + 1) as w from counts join vocabulary using (term)),
 scores as (select term, max(w / norm) as score
-  from weights join (select doc_id, pos, sqrt(sum(w * w)) as norm from weights group by all) using (doc_id, pos) group by all)
-select row_number() over (order by round(score, 9) desc, term)::int as rank, term, round(score, 6) as score,
- round(score / max(score) over (), 4) as importance from scores qualify row_number() over (order by round(score, 9) desc, term) <= 20""")
+  from weights join (select doc_id, pos, sqrt(sum(w * w)) as norm from weights group by all) using (doc_id, pos) group by all),
+corpus_terms as materialized (select row_number() over (order by round(score, 9) desc, term)::int as rank, term, round(score, 6) as score,
+ round(score / max(score) over (), 4) as importance from scores qualify row_number() over (order by round(score, 9) desc, term) <= 20)"""
+
+
+@query("corpus_keywords", f"with {CORPUS_KEYWORDS_SQL} select * from corpus_terms")
 def corpus_keywords(spark, folder):
     return keywords.corpus_keywords(table(spark, folder, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
+@query("corpus_contexts", f"""with {CORPUS_KEYWORDS_SQL}, plain as (select doc_id, pos, sentence, {key_sql('sentence')} as plain from clean)
+select rank, term, (row_number() over (partition by term order by doc_id, pos))::int as mention, doc_id, pos::int as pos, sentence
+from corpus_terms join plain on contains(plain, {key_sql('term')}) and {key_sql('term')} <> ''
+qualify row_number() over (partition by term order by doc_id, pos) <= 2""")
+def corpus_contexts(spark, folder):
+    source = materialise(documents.prepare_documents(docs(spark, folder), "doc_id", "text"), "documents")
+    return keywords.corpus_contexts(source, keywords.corpus_keywords(source, "doc_id", "text"), "doc_id", "text")
+
+
 CONTEXTS_SQL = f"""plain as materialized (select doc_id, pos, sentence, {key_sql('sentence')} as plain from clean),
 contexts as (select doc_id, rank, term, row_number() over (partition by doc_id, term order by pos) as mention, pos, sentence
 from keywords join plain using (doc_id) where contains(plain, {key_sql('term')}) and {key_sql('term')} <> ''
@@ -184,7 +196,7 @@ qualify row_number() over (partition by doc_id, term order by pos) <= 2)"""
 @query("keyword_contexts", f"""with recursive {KEYWORDS_SQL}, {CONTEXTS_SQL}
 select doc_id, rank::int as rank, term, mention::int as mention, pos::int as pos, sentence from contexts""")
 def keyword_contexts(spark, folder):
-    source = table(spark, folder, "documents")
+    source = materialise(documents.prepare_documents(docs(spark, folder), "doc_id", "text"), "documents")
     return keywords.keyword_contexts(source, keywords.tfidf_keywords(source, "doc_id", "text"), "doc_id", "text")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.fixed import KEYWORD_CHUNK, SUMMARY_CHUNK
+from gleaner.functions.storage import spread
 from gleaner.functions.text import (
     LINE_BREAK, chunk_count, chunk_text, clean_sentences, compact_text, exploded, filtered_tokens, inlined, is_prose, strip, tokenise, words,
 )
@@ -27,7 +28,7 @@ SENTENCES = "clean_sentences"
 
 def prepare_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Compact text and clean sentences per document, so that several operators split each text only once."""
-    compacted = docs.select(key, text).repartition(key).withColumn(text, compact_text(F.col(text)))
+    compacted = spread(docs.select(key, text), key).withColumn(text, compact_text(F.col(text)))
     return compacted.withColumn(SENTENCES, clean_sentences(F.col(text), compacted=True))
 
 
