@@ -49,7 +49,7 @@ def file_inventory(spark, folder):
     path = fresh_path(spark, "listing")
     table(spark, folder, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
     found = files.file_inventory(spark, path)
-    return found.where("file like 'part-%'").select(
+    return found.select(
         F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "kind", "bytes", "error")
 
 

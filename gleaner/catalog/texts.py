@@ -299,6 +299,6 @@ def metric_texts(spark, folder):
     return forms.select("o_orderkey", "name", labels.format_metric(F.col("x")).alias("shown"))
 
 
-@query("flat_texts", f"""select item_id, {strip_sql("regexp_replace(text, '[ \t]+', ' ', 'g')")} as text from benchmark""")
+@query("flat_texts", f"""select doc_id, {strip_sql("regexp_replace(text, '[ \t]+', ' ', 'g')")} as text from documents""")
 def flat_texts(spark, folder):
-    return table(spark, folder, "benchmark").select("item_id", normalise_whitespace(F.col("text")).alias("text"))
+    return docs(spark, folder).select("doc_id", normalise_whitespace(F.col("text")).alias("text"))
