@@ -30,16 +30,34 @@ def _powers(base: int) -> np.ndarray:
 
 
 POWERS, INVERSE = _powers(int(ODD[5])), _powers(pow(int(ODD[5]), -1, 1 << 64))
+#: A second hash of contents, with values and a base of its own.
+MORE_BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_base = int(_rng.integers(0, 1 << 64, dtype=np.uint64)) | 1
+MORE_POWERS, MORE_INVERSE = _powers(_base), _powers(pow(_base, -1, 1 << 64))
 NO_ID = (1 << 63) - 1
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return values ^ values >> np.uint64(29)
+
+
+def _content(part: np.ndarray, first: np.ndarray, end: np.ndarray):
+    """Two hashes (64 and 32 bits) of the bytes of ``part`` from ``first`` to ``end``."""
+    out = []
+    for values, powers, inverse in ((BYTES, POWERS, INVERSE), (MORE_BYTES, MORE_POWERS, MORE_INVERSE)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[part] * powers[:len(part)])])
+        out.append(_mixed((sums[end] - sums[first]) * inverse[first]))
+    return out[0], out[1] >> np.uint64(32)
+
+
 def runs(data: bytes):
-    """Of each run of a text: the anchor's key (40 bits), a hash of all its bytes (40 bits), its first string and their number."""
+    """Of each run of a text: the anchor's key (40 bits), two hashes of all its bytes (96 bits), its first string and their number."""
     out = []
     whole = np.frombuffer(data, dtype=np.uint8)
     for at in range(0, len(whole) - LEAST + 1, SEGMENT):
-        part = BYTES[whole[at:at + SEGMENT + LEAST - 1]]
-        lead, width = part, 1
+        part = whole[at:at + SEGMENT + LEAST - 1]
+        lead, width = BYTES[part], 1
         while width < 16:
             lead = lead[:-width] * ODD[width.bit_length() - 1] + lead[width:]
             if width == 2:
@@ -56,13 +74,9 @@ def runs(data: bytes):
         anchor = (least & PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
         stop = np.append(first[1:], len(anchor))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * POWERS[:len(part)])])
-        content = (sums[stop + LEAST - 1] - sums[first]) * INVERSE[first]
-        content ^= content >> np.uint64(31)
-        content *= np.uint64(0xC2B2AE3D27D4EB4F)
-        out.append((lead[anchor[first]] >> np.uint64(24), content >> np.uint64(24), first + at, stop - first))
+        out.append((lead[anchor[first]] >> np.uint64(24), *_content(part, first, stop + LEAST - 1), first + at, stop - first))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -134,12 +148,12 @@ def _split(groups: np.ndarray):
             yield groups[rows[0]], rows
 
 
-RUNS = "bucket int, key binary, content binary, doc binary, uid binary, first binary, n binary"
+RUNS = "bucket int, key binary, content binary, more binary, doc binary, uid binary, first binary, n binary"
 #: What was found of runs, packed by share of the texts. Kinds: 0 covered strings, 1 runs to look into, 2 first of its content in
-#: one bucket of several.
-FOUND = "share int, kind int, key binary, content binary, doc binary, uid binary, first binary, n binary"
+#: one bucket of several, the only ones whose content is compared further.
+FOUND = "share int, kind int, key binary, content binary, more binary, doc binary, uid binary, first binary, n binary"
 CONTEXTS = "bucket int, key binary, doc binary, uid binary, first binary, n binary, bytes binary"
-EDGE = "key long, content long, doc long, uid long, first long, n long"
+EDGE = "key long, content long, more long, doc long, uid long, first long, n long"
 
 
 def _deal_runs(texts: DataFrame, ranges: Ranges, flush: int = 1 << 23) -> DataFrame:
@@ -148,19 +162,19 @@ def _deal_runs(texts: DataFrame, ranges: Ranges, flush: int = 1 << 23) -> DataFr
     def rows(held):
         out = []
         if held:
-            key, content, doc, uid, first, n = map(np.concatenate, zip(*held))
+            key, content, more, doc, uid, first, n = map(np.concatenate, zip(*held))
             for bucket, at in _split(ranges.bucket(key, uid & 0x7FFFFFFF)):
-                out.append((int(bucket), five(key[at]), five(content[at]), doc[at].tobytes(), uid[at].tobytes(),
-                            first[at].astype("<i4").tobytes(), n[at].astype(np.uint8).tobytes()))
+                out.append((int(bucket), five(key[at]), content[at].astype("<u8").tobytes(), more[at].astype("<u4").tobytes(), doc[at].tobytes(),
+                            uid[at].tobytes(), first[at].astype("<i4").tobytes(), n[at].astype(np.uint8).tobytes()))
         return pd.DataFrame(out, columns=_names(RUNS))
 
     def packed(frames):
         held, size = [], 0
         for frame in frames:
             for uid, doc, text in zip(frame["uid"], frame["doc"], frame["text"]):
-                key, content, first, n = runs(text)
+                key, content, more, first, n = runs(text)
                 if len(key):
-                    held.append((key, content, np.full(len(key), doc), np.full(len(key), uid), first, n))
+                    held.append((key, content, more, np.full(len(key), doc), np.full(len(key), uid), first, n))
                     size += len(text)
                 if size >= flush:
                     yield rows(held)
@@ -174,8 +188,9 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).astype(np.int64)
 
 
-def _pack_found(shares: int, kind: int, key, content, doc, uid, first, n) -> list[tuple]:
-    return [(int(share), kind, five(key[at]), content[at].astype("<i8").tobytes(), doc[at].astype("<i8").tobytes(), uid[at].astype("<i8").tobytes(),
+def _pack_found(shares: int, kind: int, key, content, more, doc, uid, first, n) -> list[tuple]:
+    hashed = lambda values, at, kept: values[at].astype(kept).tobytes() if kind == 2 else b""
+    return [(int(share), kind, five(key[at]), hashed(content, at, "<i8"), hashed(more, at, "<u4"), doc[at].astype("<i8").tobytes(), uid[at].astype("<i8").tobytes(),
              first[at].astype("<i4").tobytes(), n[at].astype("<i4").tobytes()) for share, at in _split((uid & 0x7FFFFFFF) % shares)]
 
 
@@ -184,13 +199,14 @@ def _look_at_runs(dealt: DataFrame, ranges: Ranges, shares: int) -> DataFrame:
     are to be looked into."""
 
     def looked(frame):
-        key, content = from_five(b"".join(frame["key"])), from_five(b"".join(frame["content"])).astype(np.int64)
-        doc, uid, first, n = (_joined(frame[c], k) for c, k in (("doc", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("n", "u1")))
-        order = np.lexsort((doc, content, key))
-        every = [x[order] for x in (key, content, doc, uid, first, n)]
-        key, content, doc = every[:3]
+        key = from_five(b"".join(frame["key"]))
+        content, more, doc, uid, first, n = (_joined(frame[c], k) for c, k in (
+            ("content", "<i8"), ("more", "<u4"), ("doc", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("n", "u1")))
+        order = np.lexsort((doc, n, more, content, key))
+        every = [x[order] for x in (key, content, more, doc, uid, first, n)]
+        key, content, more, doc, n = *every[:4], every[6]
         new_key = np.append(True, key[1:] != key[:-1])
-        new = np.append(True, new_key[1:] | (content[1:] != content[:-1]))
+        new = np.append(True, new_key[1:] | (content[1:] != content[:-1]) | (more[1:] != more[:-1]) | (n[1:] != n[:-1]))
         covered = doc > doc[new][np.cumsum(new) - 1]
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1] > 1
         spans = ranges.spans(key)
@@ -209,7 +225,7 @@ def _across(found: DataFrame, shares: int, rest: int | None) -> DataFrame:
         for frame in frames:
             if len(frame):
                 yield pd.DataFrame(dict(zip(_names(EDGE), (from_five(b"".join(frame["key"])).astype(np.int64), *(
-                    _joined(frame[c], k) for c, k in (("content", "<i8"), ("doc", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("n", "<i4")))))))
+                    _joined(frame[c], k) for c, k in (("content", "<i8"), ("more", "<u4"), ("doc", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("n", "<i4")))))))
 
     def closed(frames):
         for frame in frames:
@@ -220,8 +236,9 @@ def _across(found: DataFrame, shares: int, rest: int | None) -> DataFrame:
                     yield pd.DataFrame(_pack_found(shares, kind, columns[0].astype(np.uint64), *columns[1:]), columns=_names(FOUND))
 
     edge = found.where("kind = 2").mapInPandas(opened, EDGE)
-    least = edge.groupBy("key", "content").agg(F.min("doc").alias("least"))
-    return edge.join(least, ["key", "content"]).withColumn("covered", F.col("doc") > F.col("least")).select(*_names(EDGE), "covered").mapInPandas(closed, FOUND)
+    same = ["key", "content", "more", "n"]
+    least = edge.groupBy(same).agg(F.min("doc").alias("least"))
+    return edge.join(least, same).withColumn("covered", F.col("doc") > F.col("least")).select(*_names(EDGE), "covered").mapInPandas(closed, FOUND)
 
 
 def _with_texts(texts: DataFrame, found: DataFrame, kind: int, shares: int, user, schema: str) -> DataFrame:
@@ -301,18 +318,20 @@ def _look_into(contexts: DataFrame, ranges: Ranges, shares: int, block: int = 1
         words = words.view(np.uint64)
         least = least_of(multikey_groups(np.hstack([key[row, None], words])), doc[row])
         covered = doc[row] > least
-        code = (words * ODD[:1] ** np.arange(1, 8, dtype=np.uint64)).sum(axis=1)
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0x9E3779B97F4A7C15)
-        every = key[row], (code ^ code >> np.uint64(32)).view(np.int64), doc[row], uid[row], first[row] + step, np.ones(len(row), np.int64)
+        none = np.zeros(len(row), np.uint64)
+        every = [key[row], none, none, doc[row], uid[row], first[row] + step, np.ones(len(row), np.int64)]
         edge = ~covered & ranges.spans(key)[row]
         # Strings in a row become one entry.
         joins = covered[1:] & covered[:-1] & (row[1:] == row[:-1])
         start = np.flatnonzero(covered & ~np.append(False, joins))
         stop = np.flatnonzero(covered & ~np.append(joins, False))
         spans = [x[start] for x in every]
-        spans[5] = stop - start + 1
-        return _pack_found(shares, 0, *spans) + _pack_found(shares, 2, *(x[edge] for x in every))
+        spans[6] = stop - start + 1
+        edges = [x[edge] for x in every]
+        flat = np.ascontiguousarray(words.view(np.uint8)[edge, :LEAST])
+        powers, more = POWERS[:LEAST], MORE_POWERS[:LEAST]
+        edges[1], edges[2] = _mixed((BYTES[flat] * powers).sum(axis=1)).view(np.int64), _mixed((MORE_BYTES[flat] * more).sum(axis=1)) >> np.uint64(32)
+        return _pack_found(shares, 0, *spans) + _pack_found(shares, 2, *edges)
 
     def looked(frame):
         key = from_five(b"".join(frame["key"]))

@@ -184,6 +184,21 @@ def test_spanning_keys_are_compared_across_buckets(spark, monkeypatch):
     assert found == brute_repeats(docs)
 
 
+@pytest.mark.parametrize("one, two, spanning", [
+    ("the cat sat on the mat and looked at nnsijlfeletxm", "the cat sat on the mat and looked at ogsjiynxojpzj", False),
+    ("the cat sat on the mat and looked at nnsijlfeletxm", "the cat sat on the mat and looked at ogsjiynxojpzj", True),
+    ("the catasat on fhe mat and looked at the old red h", "the catksat on dhe mat and looked at the old red h", True)])
+def test_contents_that_once_hashed_alike_stay(spark, monkeypatch, one, two, spanning):
+    """The first two shared a key and 40 bits of content, the last two a 64-bit sum of their words."""
+    docs = [(1, one), (2, two), (3, one)]
+    keys = np.unique(np.concatenate([suffix_ranges.runs(t.encode())[0] for t in (one, two)]))
+    assert len(keys) == 1
+    if spanning:
+        monkeypatch.setattr(suffix_ranges, "Ranges", lambda sample, parts, made=suffix_ranges.Ranges: made(np.repeat(keys, 40), 4))
+    found = suffix_ranges.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in found), key=str) == brute_repeats(docs)
+
+
 def test_multikey_groups():
     words = np.random.default_rng(0).integers(0, 3, (500, 5)).astype(np.uint64)
     groups = suffix_ranges.multikey_groups(words)
