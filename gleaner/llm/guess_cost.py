@@ -19,8 +19,13 @@ KINDS = "assign", "access", "hex", "guess"
 # Names before a value that make it a credential, beyond those of the base scan.
 CONTEXT_WORDS = ("pass", "pwd", "passphrase", "passcode", "credential", "credentials", "auth", "bearer", "login", "private_key", "access_key",
                  "secret_key", "client_secret", *KEYWORDS)
+SIGN, SCHEME = r"[\"']?\x20*[:=]\x20*[\"']?", r"(?:bearer|basic)\x20+"
+# A name and a sign, with or without a scheme; a header with a scheme; or "Bearer" before a value that is no plain word. Names of the base
+# scan count behind other letters too, as they do there.
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:" + "|".join(sorted(CONTEXT_WORDS, key=len, reverse=True)) + r")[\"']?\x20*[:=]\x20*[\"']?([^\s\"'<>,;]{6,})", re.I | re.A)
+    r"(?:(?:(?<![A-Za-z0-9])(?:" + "|".join(sorted(CONTEXT_WORDS, key=len, reverse=True)) + ")|" + "|".join(KEYWORDS) + f"){SIGN}(?:{SCHEME})?+"
+    rf"|(?<![A-Za-z0-9])authorization{SIGN}{SCHEME}"
+    r"|(?<![A-Za-z0-9])bearer\x20+(?=[\"']?[^\s\"'<>,;]*(?:\d|(?-i:[a-z][A-Z]))))[\"']?([^\s\"'<>,;]{6,})", re.I | re.A)
 
 # Words that guessers try first, commonest first.
 COMMON = (
@@ -90,7 +95,7 @@ def scan(text: str, least_bits: float) -> list[tuple[int, int, str, float]]:
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             end = start + len(m[1].rstrip(".)]}!?"))
-            if end - start >= 6 and not any(a < end and start < b for a, b in known) and (bits := guess_bits(text[start:end])) >= least_bits:
+            if end - start >= 6 and not any(a <= start and end <= b for a, b in known) and (bits := guess_bits(text[start:end])) >= least_bits:
                 spans.append((start, end, "guess", bits))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -99,7 +104,7 @@ def find_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", least
     """``doc_id``, ``secrets`` (array of start, end, kind, bits) for every row, texts scanned whole.
 
     Offsets count code points. Base kinds are ``assign``, ``access`` and ``hex``; ``guess`` adds values in a credential context
-    that no base span touches and whose guess cost is at least ``least_bits``, so that placeholders such as ``changeme`` stay.
+    that no base span holds whole and whose guess cost is at least ``least_bits``, so that placeholders such as ``changeme`` stay.
 
     Null and empty texts have no span; null ids and repeated rows are kept as they are; an empty table gives no rows; further
     columns are ignored."""
@@ -138,9 +143,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_bi
 def _cut(text, least_bits: float, mark: str):
     spans = scan(text, least_bits) if text else []
     parts, at = [], 0
-    for start, end, kind, _ in spans:
-        if kind == "assign":  # the name stays
-            start = ASSIGN.match(text, start).start(1)
+    # Of assignments the name stays; spans that overlap are cut as one.
+    for start, end in sorted((ASSIGN.match(text, s[0]).start(1) if s[2] == "assign" else s[0], s[1]) for s in spans):
         if start >= at:
             parts += [text[at:start], mark]
         at = max(at, end)

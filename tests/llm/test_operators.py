@@ -255,6 +255,17 @@ def test_secrets(spark, messy, nothing):
     assert bits("password1") < bits("qwertyuiop1998") < bits("x9$Kq2!vLmZ") and bits("aaaaaaaaaaaa") < bits("a8f3k2m9x1q7") and bits("a" * 20_000) < 40
 
 
+def test_secrets_reach_behind_marks_and_bearer(spark):
+    texts = ['password = "Tr0ub4dor&3xK!vQ9#" stays', "Authorization: Bearer mF9vB5f41JqM rest", "auth: bearer mF9vB5f41JqM", "the bearer certificates were lost",
+             "dbpassword=Tr0ub4dor&3xK!vQ9#", "pwd=password=abc123&xyQ!7z", "password: hunter22"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in guess_cost.digest_columns(frame).collect()}
+    assert [spans[i] for i in range(7)] == ["assign:0:21,guess:12:30", "guess:22:34", "guess:13:25", "", "assign:2:20,guess:11:29", "assign:4:19,guess:4:26", "assign:0:18"]
+    kept = {r["doc_id"]: r["text"] for r in guess_cost.redact(frame).collect()}
+    assert [kept[i] for i in range(7)] == ['password = "[SECRET]" stays', "Authorization: Bearer [SECRET] rest", "auth: bearer [SECRET]", texts[3],
+                                           "dbpassword=[SECRET]", "pwd=[SECRET]", "password: [SECRET]"]
+
+
 def sets_of(text, size):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(words[k:k + size]) for k in range(max(len(words) - size + 1, min(len(words), 1))))
