@@ -63,13 +63,13 @@ KEY = ["width", "table", "axis"]
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int, tables: int, probes: int | None, block: int, seed: int) -> DataFrame:
-    """(query_id, vec_id, score): for each query and probed bucket block the ``k`` best."""
+    """(query_id, vec_id, score): for each query and probed bucket block the ``k`` best ids, each by its best vector."""
     stored, asked = _buckets(vectors, tables, 1, seed), _buckets(queries, tables, probes, seed)
     parts = lambda df, name: df.groupBy(KEY).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     # Buckets number 2 x width x tables, so these counts may be broadcast; a full bucket is dealt to blocks on both sides.
     counts = F.broadcast(parts(stored, "stored_parts").join(parts(asked, "asked_parts"), KEY))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.col(n)).cast("int")
     cut = ["vec_id", "vec", *KEY, "stored_part", "asked_part"]
     left = stored.join(counts, KEY).withColumn("stored_part", own("stored_parts")).withColumn("asked_part", every("asked_parts")).select(*cut)
     right = asked.join(counts, KEY).withColumn("asked_part", own("asked_parts")).withColumn("stored_part", every("stored_parts")).select(*cut)
@@ -78,15 +78,25 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, tables: int, probes:
         ids, named = data["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(ids) and len(named):
-            x, q = _matrix(data["vec"]), _matrix(ask["vec"])
+            by_id = np.argsort(ids, kind="stable")
+            ids, x, q = ids[by_id], _matrix(data["vec"])[by_id], _matrix(ask["vec"])
             rough = q @ x.T
             rough[named[:, None] == ids[None]] = -np.inf
-            at = min(k, len(ids)) - 1
-            bar = -np.partition(-rough, at, axis=1)[:, at]
-            # Equal vectors must score equally, so what is near the bar is summed again in one fixed order.
-            near = np.isfinite(rough) & (rough >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]) if len(ids) > at + 1 else np.isfinite(rough)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            each = np.cumsum(np.append(True, ids[1:] != ids[:-1])) - 1
+            most = np.maximum.reduceat(rough, first, axis=1)
+            at = min(k, len(first)) - 1
+            bar = -np.partition(-most, at, axis=1)[:, at]
+            # Equal vectors must score equally, so what is near the bar and the best of its id is summed again in one fixed order.
+            slack = lambda v: v - 1e-9 * (1 + np.abs(v))
+            with np.errstate(invalid="ignore"):
+                near = np.isfinite(rough) & (rough >= slack(most)[:, each]) & ((rough >= slack(bar)[:, None]) | ~np.isfinite(bar)[:, None])
             qi, xi = np.nonzero(near)
             score = (q[qi] * x[xi]).sum(axis=1)
+            order = np.lexsort((-score, ids[xi], qi))
+            qi, xi, score = qi[order], xi[order], score[order]
+            once = np.append(True, (qi[1:] != qi[:-1]) | (ids[xi[1:]] != ids[xi[:-1]]))[:len(qi)]
+            qi, xi, score = qi[once], xi[once], score[once]
             order = np.lexsort((ids[xi], -score, qi))
             qi, xi, score = qi[order], xi[order], score[order]
             place = np.arange(len(qi)) - np.searchsorted(qi, qi)
@@ -113,6 +123,7 @@ def nearest(vectors: DataFrame, asked: Column, vec_id: str = "vec_id", vec: str
         "vec", lambda v: v != 0)
     base = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vec}`").cast("array<double>").alias("vec"), asked.alias("asked"))
     base = base.where(F.col("vec_id").isNotNull() & usable)
+    base = materialise(base.groupBy("vec_id", "vec").agg(F.max("asked").alias("asked")), "vectors")
     stored, queries = base.select("vec_id", "vec"), base.where("asked").select("vec_id", "vec")
     once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -228,6 +228,21 @@ def test_neighbours(spark):
     assert cross_polytope.nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_vectors_leave_room_for_others(spark):
+    """Of eight dimensions all axes are looked at, so neighbours are exact: with rows repeated, and with one id of many vectors."""
+    rng = np.random.default_rng(4)
+    x = 1 + rng.normal(size=(60, 8)) / 8
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    many = [(1, (x[0] * (1 + j / 1000)).tolist()) for j in range(100)]
+    ask = lambda rows, **how: sorted((r["rank"], r["vec_id"]) for r in cross_polytope.nearest(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, **how).collect())
+    scores = {i: float(v @ x[0]) for i, v in enumerate(x) if i}
+    best = lambda scores: [(k + 1, i) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:20])]
+    assert ask(rows * 30) == best(scores)
+    scores[1] = max([scores[1], *(float(np.array(v) @ x[0]) for _, v in many)])
+    assert ask(rows + many) == ask(rows + many, block=16) == best(scores)
+
+
 def test_languages(spark, messy, nothing):
     rng = random.Random(2)
     tongues = {"xa": ["lorem", "dolor", "amet", "sit"], "xb": ["kato", "hundo", "birdo", "suno"], "xc": ["zwart", "wit", "groen", "blauw"]}
