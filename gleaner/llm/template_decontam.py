@@ -25,8 +25,8 @@ LOW = np.uint64((1 << 58) - 1)
 
 
 class Tokens(dict):
-    """Of a raw word: 58 bits of hash, kind in two bits, whether it starts with a capital, whether a sentence ends behind it,
-    and 0 for a word without a letter or digit; remembered for the words seen lately."""
+    """Of a raw word: 58 bits of hash, whether a mark stands behind it, kind in two bits, whether it starts with a capital, whether
+    a sentence ends behind it, and 0 for a word without a letter or digit; remembered for the words seen lately."""
 
     def __missing__(self, word):
         if len(self) >= 100_000:
@@ -36,16 +36,27 @@ class Tokens(dict):
         kind = DIGITS if NUMBER.fullmatch(core) else UNIT if lower in UNITS else 0
         hashed = int.from_bytes(blake2b(lower.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 6 | 1
         ends = word.endswith(ENDS)
+        marked = word[-1] in PUNCTUATION
         capital = core[:1].isupper() and not core[1:2].isupper()
-        self[word] = found = (hashed << 4 | kind << 2 | capital << 1 | ends) if core else 0
+        self[word] = found = (hashed << 5 | marked << 4 | kind << 2 | capital << 1 | ends) if core else 0
         return found
 
 
-def windows(text: str, tokens: Tokens, width: int):
-    """Hashes of the template windows of a whole text, the placeholder kind of each word, and the words.
+def _hashes(value: np.ndarray, w: int, seed: int) -> np.ndarray:
+    hashed = np.full(len(value) - w + 1, seed, dtype=np.uint64)
+    for i in range(w):
+        hashed = (hashed ^ value[i:len(value) - w + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+    return hashed
+
 
-    A capital word counts as a name unless a sentence starts there. A text of fewer words than ``width`` is one window; a window
-    needs two words that are no placeholder, as slots alone say nothing."""
+def windows(text: str, tokens: Tokens, sizes: tuple[int, ...]):
+    """The words of a whole text, and for each reading and size of window (reading, hashes, first word of each token, kind of each token).
+
+    A capital word is a name: in the first reading unless a sentence starts there, in the second everywhere, in the third nowhere.
+    Names in a row, with no mark between them, are one token. A text of fewer words than the largest size is one window, which meets
+    such texts only. A window needs two words that are no placeholder, as slots alone say nothing: else its hash is 0 in the first two
+    readings, and that of its plain words in lower case in the third, so that copies always meet."""
     words = text.split()
     codes = np.fromiter(map(tokens.__getitem__, words), dtype=np.uint64, count=len(words))
     if (codes == 0).any():
@@ -53,47 +64,70 @@ def windows(text: str, tokens: Tokens, width: int):
         words, codes = [w for w, k in zip(words, keep) if k], codes[keep]
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int8), words
-    kind = (codes >> np.uint64(2) & np.uint64(3)).astype(np.int8)
-    starts = np.ones(n, dtype=bool)
-    starts[1:] = codes[:-1] & np.uint64(1) != 0
-    kind[(kind == 0) & ~starts & (codes >> np.uint64(1) & np.uint64(1) != 0)] = NAME
-    value = np.where(kind > 0, SLOT_HASH[kind], (codes >> np.uint64(4)) & LOW)
-    w = min(width, n)
-    hashed, plain = np.full(n - w + 1, w, dtype=np.uint64), np.zeros(n - w + 1, dtype=np.int32)
-    for i in range(w):
-        hashed = (hashed ^ value[i:n - w + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        hashed ^= hashed >> np.uint64(29)
-        plain += kind[i:n - w + 1 + i] == 0
-    hashed[plain < min(2, w)] = 0
-    return hashed.view(np.int64), kind, words
-
-
-ROWS = "id long, at int, hash long, n int, slots array<string>"
-
-
-def _windows(texts: DataFrame, width: int, screen: Screen | None) -> DataFrame:
-    """A row for each template window of (id, text); those that miss the screen are left out."""
+        return words, []
+    bit = lambda i: codes >> np.uint64(i) & np.uint64(1) != 0
+    base = (codes >> np.uint64(2) & np.uint64(3)).astype(np.int8)
+    plain = codes >> np.uint64(5) & LOW
+    starts = np.append(True, bit(0)[:-1])
+    apart = np.append(True, bit(4)[:-1])
+    capital = (base == 0) & bit(1)
+    short = n < max(sizes)
+    out = []
+    for reading, named in enumerate((capital & ~starts, capital, None)):
+        if named is None:
+            kind, at = base, np.arange(n)
+        else:
+            at = np.flatnonzero(~named | apart | ~np.append(False, named[:-1]))
+            kind = np.where(named, np.int8(NAME), base)[at]
+        value = np.where(kind > 0, SLOT_HASH[kind], plain[at])
+        told = np.append(0, np.cumsum(kind == 0))
+        for w in {min(size, len(at)) for size in sizes}:
+            seed = w | reading << 8 | short << 16
+            hashed = _hashes(value, w, seed)
+            few = told[w:] - told[:-w] < min(2, w)
+            if named is not None:
+                hashed[few] = 0
+            elif few.any():
+                hashed = np.where(few, _hashes(plain, w, seed | 1 << 24), hashed)
+            out.append((reading, hashed.view(np.int64), at, kind))
+    return words, out
+
+
+ROWS = "id long, at int, hash long, reading int, size int, unit long, slots array<string>"
+
+
+def _units(found, n: int) -> list[np.ndarray]:
+    """For each reading of an item, the unit that each of its windows stands for: the third reading's hash at the first word, or at the
+    first word of the name that it lies in. Units without a template only count, as 0 otherwise, where no unit has one."""
+    places = [at[:len(hashed)] for _, hashed, at, _ in found]
+    second, last = found[1], places[1][-1]
+    start = second[2][np.searchsorted(second[2], np.minimum(np.arange(n), last), "right") - 1]
+    third = found[2][1]
+    units = [third[np.minimum(start[p], len(third) - 1)] for p in places]
+    told = np.concatenate([u[h != 0] for u, (_, h, _, _) in zip(units[:2], found)])
+    return [np.where(np.isin(u, told), u, 0) if len(told) else u for u in units]
+
+
+def _windows(texts: DataFrame, sizes: tuple[int, ...], screen: Screen | None) -> DataFrame:
+    """A row for each template window of (id, text); those that miss the screen are left out. Without one, texts are items."""
 
     def rows(frames):
         tokens = Tokens()
         for frame in frames:
-            ids, ats, hashes, ns, slots = [], [], [], [], []
+            out = []
             for i, text in zip(frame["id"], frame["text"]):
-                found, kind, words = windows(text, tokens, width)
-                keep = found != 0
-                if screen is not None:
-                    keep &= screen.passes(found)
-                at = np.flatnonzero(keep)
-                if len(at):
-                    w = min(width, len(words))
-                    ids += [i] * len(at)
-                    ns += [len(found)] * len(at)
-                    ats += at.tolist()
-                    hashes += found[at].tolist()
-                    slots += [[f"{kind[j]}{words[j].strip(PUNCTUATION)}" for j in range(a, a + w) if kind[j]] for a in at]
-            if ids:
-                yield pd.DataFrame({"id": ids, "at": ats, "hash": hashes, "n": ns, "slots": slots})
+                words, found = windows(text, tokens, sizes)
+                units = _units(found, len(words)) if found and screen is None else None
+                for k, (reading, hashed, first, kind) in enumerate(found):
+                    keep = hashed != 0
+                    keep &= units[k] != 0 if screen is None else screen.passes(hashed)
+                    w = len(first) - len(hashed) + 1
+                    for a in np.flatnonzero(keep).tolist():
+                        ends = np.append(first[a + 1:a + w + 1], len(words))
+                        slots = [f"{kind[j]}" + " ".join(x.strip(PUNCTUATION).lower() for x in words[first[j]:ends[j - a]]) for j in range(a, a + w) if kind[j]]
+                        out.append((i, a, hashed[a], reading, w, units[k][a] if units else 0, slots))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     return texts.dropna().mapInPandas(rows, ROWS)
 
@@ -101,7 +135,7 @@ def _windows(texts: DataFrame, width: int, screen: Screen | None) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
           width: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id``, ``item_id``, ``coverage``, ``n_windows``, ``changed_slots``: items of which a document holds at least ``least`` of
-    the template windows of ``width`` words, with slots filled consistently.
+    the template windows of ``width`` words, in any reading of its capital words, with slots filled consistently.
 
     Along one alignment of item and document, each value of the item must always stand for the same value of the document
     (the commonest one); windows that break this don't count. ``changed_slots`` counts the values that differ, so 0 is a copy and more is a
@@ -113,17 +147,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     give no rows; further columns are ignored."""
     bounded_batches(docs.sparkSession)
     pick = lambda df, i, t: df.select(F.col(f"`{i}`").cast("long").alias("id"), F.col(f"`{t}`").cast("string").alias("text"))
-    asked = materialise(_windows(pick(benchmark, item, item_text), width, None), "items").withColumnsRenamed(
-        {"id": "item_id", "at": "item_at", "slots": "item_slots"}).drop("n")
-    sizes = asked.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
-    seen = _windows(pick(docs, doc, text), width, Screen(asked.select("hash"))).withColumnsRenamed({"id": "doc_id"}).drop("n")
+    asked = materialise(_windows(pick(benchmark, item, item_text), (width,), None), "items").withColumnsRenamed(
+        {"id": "item_id", "at": "item_at", "slots": "item_slots"})
+    sizes = asked.groupBy("item_id").agg(F.count_distinct("unit").alias("n_windows"))
+    # Where names in a row leave an item fewer tokens than `width`, its windows are smaller; there are at most `width` sizes.
+    looked_for = tuple({width, *(r["size"] for r in asked.select("size").distinct().collect())})
+    asked = asked.drop("size")
+    seen = _windows(pick(docs, doc, text), looked_for, Screen(asked.select("hash"))).select(F.col("id").alias("doc_id"), "at", "hash", "slots")
     hits = materialise(seen.join(asked, "hash"), "hits")
     # Documents that lack too many of an item's windows go before their slots are looked at.
-    enough = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("found")).join(sizes, "item_id").where(
+    enough = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("unit").alias("found")).join(sizes, "item_id").where(
         F.col("found") >= F.col("n_windows") * least).select("doc_id", "item_id", "n_windows")
     passage = hits.join(enough, ["doc_id", "item_id"]).withColumn("shift", F.col("at") - F.col("item_at")).dropDuplicates(
-        ["doc_id", "item_id", "shift", "at", "item_at"])
-    alignment = ["doc_id", "item_id", "shift"]
+        ["doc_id", "item_id", "reading", "shift", "at", "item_at", "unit"])
+    alignment = ["doc_id", "item_id", "reading", "shift"]
     filled = passage.select(*alignment, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy(*alignment, "s").count()
     common = filled.groupBy(*alignment, F.col("s.item_slots").alias("value")).agg(
         F.max_by("s.slots", F.struct("count", "s.slots")).alias("fills")).groupBy(*alignment).agg(F.map_from_entries(
@@ -132,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     agrees = F.forall(F.arrays_zip("item_slots", "slots"), lambda s: F.try_element_at("fills", s["item_slots"]) == s["slots"])
     changed = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"] != s["slots"])
     return whole.where(agrees).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.count_distinct("hash").alias("found"),
+        F.max("n_windows").alias("n_windows"), F.count_distinct("unit").alias("found"),
         F.size(F.array_distinct(F.flatten(F.collect_set(changed)))).cast("long").alias("changed_slots")).where(
             F.col("found") >= F.col("n_windows") * least).select(
                 "doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), "n_windows", "changed_slots")

@@ -345,6 +345,18 @@ def test_slots_have_to_be_consistent(spark):
     assert [(r["doc_id"], r["changed_slots"]) for r in found] == [(1, 2)]
 
 
+def test_leaks_in_other_words_casing_and_names(spark):
+    first = "Tom has 12 apples. Tom gives 3 apples to Ann. How many apples does Tom have left?"
+    second = "yesterday the old Mary Jane Smith met a friend near the river and then Mary Jane Smith sold 7 boats there"
+    slots = "Kim 7 Bo 9 Al 3 Jo 8 km Ed 4 Ty"
+    items = spark.createDataFrame([(1, first), (2, second), (3, slots)], "item_id long, text string")
+    docs = [(1, first.replace("Tom", "Bob").replace("12", "15")), (2, first.lower()), (3, "so: " + first.upper()), (4, second.replace("Mary Jane Smith", "Bob")),
+            (5, f"we read {slots} today"), (6, slots.replace("Kim 7 Bo 9 Al", "Lu 1 Di 5 Mo")), (7, "Tom has apples. How many apples does Ann have left?")]
+    found = template_decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["changed_slots"]) for r in found) == [(1, 1, 2), (2, 1, 0), (3, 1, 0), (4, 2, 1), (5, 3, 0)]
+    assert all(r["coverage"] <= 1 for r in found)
+
+
 def test_chats(spark):
     rows = [(1, 2, "assistant", "b\\<|end|>"), (1, 1, "user", "</s>[INST] <<SYS>> \\ <"), (1, 3, "assistant", "<|next|>\n"), (1, 3, "assistant", "<|next|>\n"), (2, None, None, None),
             (2, 1, "a|ssistant<|message|>", "x<"), (None, 1, "assistant", ""), (3, 1, "user", "é\U0001F600" * 5000), (3, 1, "assistant", "\\")]
