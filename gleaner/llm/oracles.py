@@ -32,3 +32,68 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
            else length('<|next|>') end)::bigint as formatted_chars
 from s group by conv_id
 """
+
+
+def _assigned(books: str) -> str:
+    """(vec_id, part, d, e): the squared distance to the nearest entry of ``books`` and its index. Doubles hold these integers exactly."""
+    return f"""
+select vec_id, part, (least // 64)::bigint as d, (least % 64)::bigint as e from (
+  select v.vec_id, v.part, min((list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x) + list_inner_product(b.x, b.x))::bigint * 64 + b.e) as least
+  from cut v join {books} b using (part) group by v.vec_id, v.part)"""
+
+
+def _averaged(books: str, assigned: str) -> str:
+    return f"""
+select b.part, b.e, coalesce(m.x, b.x) as x from {books} b left join (
+  select part, e, list(mean order by i) as x from (
+    select part, e, i, floor(sum(v) / count(*)) as mean from (
+      select c.part, a.e, unnest(c.x) as v, generate_subscripts(c.x, 1) as i from cut c join {assigned} a using (vec_id, part)) group by all)
+  group by part, e) m using (part, e)"""
+
+
+CODES_SQL = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda v: floor(256 * v::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+cut as (select vec_id, p as part, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] as x from kept, range(16) r(p)),
+chosen as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 64),
+b0 as (select part, e, x from cut join chosen using (vec_id)),
+a0 as ({_assigned("b0")}), b1 as ({_averaged("b0", "a0")}),
+a1 as ({_assigned("b1")}), b2 as ({_averaged("b1", "a1")}),
+a2 as ({_assigned("b2")}),
+coded as (select vec_id, string_agg(printf('%02x', e), '' order by part) as code, sum(d)::bigint as error from a2 group by vec_id),
+digest as (select sha256(string_agg(v::bigint::varchar, ',' order by part, e, i)) as codebooks_sha256 from (
+  select part, e, unnest(x) as v, generate_subscripts(x, 1) as i from b2))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join kept using (vec_id), digest
+"""
+
+MIDDLE_SQL = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id) as h from documents),
+drawn as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as c1, ('0x' || h[9:16])::bigint % (len(u) + 1) as c2,
+         ('0x' || h[17:24])::bigint % 100 as c3, ('0x' || h[25:32])::bigint % 100 as c4 from units),
+cut as (
+  select *, array_to_string(u[1:least(c1, c2)], '') as prefix, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as middle,
+         array_to_string(u[greatest(c1, c2) + 1:], '') as suffix,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or c3 >= 100 then 'plain'
+              when c4 < 50 then 'spm' else 'psm' end as form from drawn)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from cut
+"""
+
+WINDOWS_SQL = r"""
+with worded as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as k from worded, unnest(range(1, len(w) - 48)) r(s)),
+first as (select k, min(doc_id) as earliest from windows group by k),
+gone as (select doc_id, s from windows join first using (k) where doc_id > earliest),
+covered as (select distinct doc_id, unnest(range(s, s + 50)) as i from gone),
+each as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from worded),
+stays as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from each anti join covered using (doc_id, i) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from worded left join stays using (doc_id)
+"""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import fresh_path
-from gleaner.llm import (chat_format, cross_polytope, guess_cost, hd_language, ordinal_quality, set_sketch, source_mix, suffix_ranges,
-                         template_decontam, warc_salvage)
-from gleaner.llm.oracles import CHAT_SQL, WARC_SQL
+from gleaner.llm import (chat_format, cross_polytope, fill_in_middle, guess_cost, hd_language, ordinal_quality, product_codes, set_sketch, source_mix,
+                         suffix_ranges, template_decontam, warc_salvage, window_repeats)
+from gleaner.llm.oracles import CHAT_SQL, CODES_SQL, MIDDLE_SQL, WARC_SQL, WINDOWS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,19 @@ def op10(spark, folder):
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op11_slice_codes", CODES_SQL)
+def op11(spark, folder):
+    return product_codes.digest_columns(table(spark, folder, "embeddings"))
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark, folder):
+    return fill_in_middle.digest_columns(table(spark, folder, "documents"))
+
+
+@query("op13_window_repeats", WINDOWS_SQL)
+def op13(spark, folder):
+    found = window_repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
