@@ -82,10 +82,9 @@ class Windows:
         """128 bits of the words that ``length`` windows from ``start`` cover."""
         return xxhash.xxh3_128_digest(self.codes[start:start + length + self.width - 1].tobytes())
 
-    def digests(self, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of each of ``length`` windows from ``start``."""
-        codes = self.codes[start:start + length + self.width - 1]
-        return tuple(mixed(rolling(mixed(codes, k), self.width, b), 0).view(np.int64) for k, b in ((1, 0x2545F4914F6CDD1D), (2, 0x9FB21C651E98DF25)))
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each window."""
+        return tuple(mixed(rolling(mixed(self.codes, k), self.width, b), 0).view(np.int64) for k, b in ((1, 0x2545F4914F6CDD1D), (2, 0x9FB21C651E98DF25)))
 
 
 def places(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -180,21 +179,21 @@ def removed_ranges(docs: DataFrame, width: int = 50, rows: int = 2, most_bits: i
             for doc, key, text in zip(frame["doc"], frame["text_key"], frame["text"]):
                 w = Windows(text, words, width)
                 starts, lengths = w.runs()
-                least = w.least[starts].view(np.int64)
-                for k in np.flatnonzero(screen.passes(_key(np.full(len(least), doc), least))).tolist():
-                    one, two = w.digests(starts[k], lengths[k])
-                    out.append(pd.DataFrame({"least": least[k], "content": w.content(starts[k], lengths[k]), "doc": doc, "text_key": key,
-                                             "start": np.arange(starts[k], starts[k] + lengths[k], dtype=np.int32), "one": one, "two": two}))
+                least = w.least[starts]
+                chosen = screen.passes(_key(np.full(len(least), doc), least)) & sketch.repeated(least)
+                if chosen.any():
+                    at = np.flatnonzero(np.repeat(chosen, lengths))
+                    one, two = w.digests()
+                    out.append((np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32), one[at], two[at]))
             if out:
-                yield pd.concat(out)
+                yield pd.DataFrame(dict(zip(("doc", "text_key", "start", "one", "two"), map(np.concatenate, zip(*out)))))
 
-    windows = docs.mapInPandas(opened, "least long, content binary, doc long, text_key long, start int, one long, two long").withColumnRenamed("doc", "first")
-    windows = materialise(windows.join(held, ["least", "content", "first"], "left_semi").drop("least", "content"), "windows")
-    shared = windows.groupBy("one", "two").agg(F.min("first").alias("earliest"), F.max("first").alias("latest")).where("earliest < latest")
+    # Windows of runs that passed the screens by chance are true windows too: they can only repeat what is removed anyway.
+    windows = materialise(docs.mapInPandas(opened, "doc long, text_key long, start int, one long, two long"), "windows")
+    shared = materialise(windows.groupBy("one", "two").agg(F.min("doc").alias("earliest"), F.max("doc").alias("latest")).where("earliest < latest"), "shared")
     whole = found.join(contents.where("first < last"), ["least", "content"]).where("doc > first").select(
         "doc", "text_key", "start", (F.col("start") + F.col("length") + (width - 1)).alias("end"))
-    edges = windows.join(shared, ["one", "two"]).where("first > earliest").select(
-        F.col("first").alias("doc"), "text_key", "start", (F.col("start") + width).alias("end"))
+    edges = windows.join(shared, ["one", "two"]).where("doc > earliest").select("doc", "text_key", "start", (F.col("start") + width).alias("end"))
     return whole.unionByName(edges)
 
 
