@@ -7,7 +7,7 @@ from gleaner.functions import labels
 from gleaner.functions.fixed import KEYWORD_STOP_WORDS, TOKEN_STOP_WORDS
 from gleaner.functions.storage import materialise, spread
 from gleaner.functions.text import LINE_BREAK, SPACE, normalise_whitespace
-from gleaner.operators import charts, documents, keywords, summaries
+from gleaner.operators import charts, documents, keywords, similarity, summaries
 
 
 def docs(spark, folder):
@@ -302,3 +302,19 @@ def metric_texts(spark, folder):
 @query("flat_texts", f"""select doc_id, {strip_sql("regexp_replace(text, '[ \t]+', ' ', 'g')")} as text from documents""")
 def flat_texts(spark, folder):
     return docs(spark, folder).select("doc_id", normalise_whitespace(F.col("text")).alias("text"))
+
+
+@query("corpus_near_duplicates", r"""with recursive worded as materialized (select doc_id, n_chars,
+  list_distinct(list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) as w from documents),
+ranked as (select *, row_number() over (order by n_chars desc nulls last, doc_id) as place from worded),
+each as materialized (select doc_id, place, len(w) as n, unnest(w) as word from ranked),
+links as materialized (select a.doc_id as better, b.doc_id as worse from each a join each b on a.word = b.word and a.place < b.place
+  group by all having 100 * count(*) > 55 * greatest(any_value(a.n), any_value(b.n))),
+repeats as materialized (select doc_id, better, row_number() over (order by place) as step from ranked
+  join (select worse as doc_id, list(better) as better from links group by worse) using (doc_id)),
+walk as (select 0::bigint as step, []::bigint[] as gone
+  union all select r.step, case when len(list_filter(r.better, lambda b: not list_contains(gone, b))) > 0 then list_append(gone, r.doc_id) else gone end
+  from walk join repeats r on r.step = walk.step + 1)
+select doc_id, len(w)::bigint as n_words, not list_contains((select arg_max(gone, step) from walk), doc_id) as kept from worded""")
+def corpus_near_duplicates(spark, folder):
+    return similarity.near_duplicates(docs(spark, folder), score="n_chars")
