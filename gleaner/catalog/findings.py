@@ -10,7 +10,7 @@ from gleaner.catalog.texts import (
 from gleaner.catalog.texts import STATS_SQL as TEXT_STATS_SQL
 from gleaner.functions import labels
 from gleaner.functions.fixed import DOWN_WORDS, UP_WORDS
-from gleaner.operators import anomalies, charts, fusion, groups, insights, keywords, matching, profile, ranking, trends
+from gleaner.operators import anomalies, charts, correlation, fusion, groups, insights, keywords, matching, profile, ranking, trends
 from gleaner.plans.links import global_ranking, link_findings
 from gleaner.plans.tables import analyse_table
 from gleaner.plans.texts import analyse_corpus, analyse_documents
@@ -91,7 +91,7 @@ def data_insights(spark, folder):
     found = insights.data_insights(
         profile.numeric_stats(df, EVENT_MEASURES), trends.datetime_trend(df, ["ts"], EVENT_MEASURES),
         anomalies.anomaly_summary(df, EVENT_MEASURES), groups.groupby_tables(df, ["event_type"], EVENT_MEASURES),
-        profile.top_correlation(df, EVENT_MEASURES), DEPTH)
+        correlation.top_correlation(df, EVENT_MEASURES), DEPTH)
     return joined_evidence(found.withColumn("score", F.round("score", 4)))
 
 

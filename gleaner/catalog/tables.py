@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog import query, table
 from gleaner.functions.columns import finite, named
-from gleaner.operators import anomalies, charts, groups, isolation, profile, schema, trends
+from gleaner.operators import anomalies, charts, correlation, groups, isolation, profile, schema, trends
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -167,7 +167,7 @@ both_ways as (select col_a, col_b, r from pairs union all select col_b, col_a, r
 select * from both_ways union all """ + per_column(MEASURES + ["l_constant"], """
 select '{c}', '{c}', case when stddev_pop({c}) > 0 then 1.0::double end from {source}"""))
 def correlation_matrix(spark, folder):
-    return profile.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"])
+    return correlation.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"])
 
 
 @query("heatmap_cells", f"""with {CONSTANT_SQL}, pairs as ({PAIRS_SQL}),
@@ -175,7 +175,7 @@ both_ways as (select col_a, col_b, r from pairs union all select col_b, col_a, r
 select col_a, col_b, round(r, 2) as r from both_ways union all """ + per_column(MEASURES + ["l_constant"], """
 select '{c}', '{c}', case when stddev_pop({c}) > 0 then 1.0::double end from {source}"""))
 def heatmap_cells(spark, folder):
-    return charts.heatmap_cells(profile.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"]))
+    return charts.heatmap_cells(correlation.correlation_matrix(with_constant(spark, folder), MEASURES + ["l_constant"]))
 
 
 @query("top_correlation", f"""with {CONSTANT_SQL}, pairs as ({PAIRS_SQL})
@@ -183,7 +183,7 @@ select col_a, col_b, r, case when r > 0 then 'positively' else 'negatively' end
  case when abs(r) > 0.7 then 'strongly' when abs(r) > 0.4 then 'moderately' else 'weakly' end as strength
 from pairs where r is not null order by abs(r) desc, i, j limit 1""")
 def top_correlation(spark, folder):
-    return profile.top_correlation(with_constant(spark, folder), MEASURES + ["l_constant"])
+    return correlation.top_correlation(with_constant(spark, folder), MEASURES + ["l_constant"])
 
 
 @query("describe_all", f"with {LINEITEM_SQL} " + per_column([c for c, (_, role) in LINEITEM_TYPES.items() if role == "numerical"], """

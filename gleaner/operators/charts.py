@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import all_named, named, number
+from gleaner.functions.columns import all_named, literal_rows, named, number
 from gleaner.functions.labels import humanize_label
-from gleaner.operators.profile import _exact_or_narrowed, value_counts
+from gleaner.operators.profile import value_counts
+from gleaner.operators.quantiles import exact_quantiles
 from gleaner.operators.schema import Roles
 
 # Points of a scatter chart, terms of a keyword cloud, charts of a group, links beside a cloud.
@@ -41,38 +42,32 @@ def category_share(df: DataFrame, columns: list[str], top: int = 6) -> DataFrame
 
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whisker ends within 1.5 interquartile ranges, and the number of points beyond."""
-    quartiles = _exact_or_narrowed(df, columns, [0.25, 0.5, 0.75])
-    found = df.agg(*[q.alias(f"{n}{i}") for i, c in enumerate(columns) for n, q in zip(("q1", "q2", "q3"), quartiles[c])]).first()
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     parts = []
     for i, c in enumerate(columns):
-        value, q1, q3 = number(c), found[f"q1{i}"], found[f"q3{i}"]
+        value, (q1, _, q3) = number(c), quartiles[c]
         reach = 1.5 * ((q3 or 0.0) - (q1 or 0.0))
         inside = value.between((q1 or 0.0) - reach, (q3 or 0.0) + reach)
         parts += [
             F.min(F.when(inside, value)).alias(f"low{i}"), F.max(F.when(inside, value)).alias(f"high{i}"),
             F.count_if(~inside).alias(f"out{i}")]
-    return df.agg(*parts).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.lit(found[f"{n}{i}"]).cast("double").alias(n) for n in ("q1", "q2", "q3")],
-            F.col(f"low{i}").alias("whisker_low"), F.col(f"high{i}").alias("whisker_high"), F.col(f"out{i}").alias("outliers"))
+    found = df.agg(*parts).first()
+    return literal_rows(df.sparkSession, [
+        {"column": c, **dict(zip(("q1", "median", "q3"), quartiles[c])), "whisker_low": found[f"low{i}"], "whisker_high": found[f"high{i}"], "outliers": found[f"out{i}"]}
         for i, c in enumerate(columns)
-    ]))).withColumnRenamed("q2", "median")
+    ], {"column": "string", **{n: "double" for n in ("q1", "median", "q3", "whisker_low", "whisker_high")}, "outliers": "bigint"})
 
 
 def outlier_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """The rows drawn as single points in a box plot: beyond 1.5 interquartile ranges."""
-    q1, _, q3 = box_quartiles(df, column)
+    q1, _, q3 = exact_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    if q1 is None:
+        return df.limit(0).select(*all_named(keys), number(column).alias("value"))
     value = number(column)
     reach = 1.5 * (q3 - q1)
     return df.where((value < q1 - reach) | (value > q3 + reach)).select(*all_named(keys), value.alias("value"))
 
 
-def box_quartiles(df: DataFrame, column: str) -> tuple[float, float, float]:
-    exprs = _exact_or_narrowed(df, [column], [0.25, 0.5, 0.75])[column]
-    return tuple(df.agg(*[e.alias(f"q{i}") for i, e in enumerate(exprs)]).first())
-
-
 def ols_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line over all complete rows."""
     a, b = number(x), number(y)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from gleaner.functions.columns import all_named, finite
 from gleaner.functions.fixed import depth_limits
 from gleaner.functions.storage import materialise
-from gleaner.operators import anomalies, groups, insights, isolation, profile, ranking, schema, trends
+from gleaner.operators import anomalies, correlation, groups, insights, isolation, profile, ranking, schema, trends
 
 
 class TableAnalysis:
@@ -65,15 +65,19 @@ class TableAnalysis:
                 return found
         return materialise(trends.index_trend(self.table, self.keys, nums), "trends")
 
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        return materialise(correlation.correlations(self.table, self.roles.numerical), "correlations")
+
     @cached_property
     def correlation(self) -> DataFrame | None:
         nums = self.roles.numerical
-        return profile.correlation_matrix(self.table, nums) if len(nums) > 1 else None
+        return correlation.correlation_matrix(self.table, nums, self._pairs) if len(nums) > 1 else None
 
     @cached_property
     def top_correlation(self) -> DataFrame | None:
         nums = self.roles.numerical
-        return profile.top_correlation(self.table, nums) if len(nums) > 1 else None
+        return correlation.top_correlation(self.table, nums, self._pairs) if len(nums) > 1 else None
 
     @cached_property
     def flagged(self) -> DataFrame | None:

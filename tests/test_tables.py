@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import anomalies, charts, groups, isolation, profile, quantiles, schema, trends
+from gleaner.functions.storage import materialise
+from gleaner.operators import anomalies, charts, correlation, groups, isolation, profile, quantiles, schema, trends
 from gleaner.plans.tables import analyse_table
 from gleaner.sources import files, prepare
 
@@ -57,19 +58,15 @@ def test_numeric_stats_edges(spark):
     assert found["single"]["missing_pct"] == pytest.approx(200 / 3)
 
 
-def test_correlation_is_pairwise_complete(spark):
+def test_correlation_is_pairwise_complete(spark, monkeypatch):
     frame = pd.DataFrame({"a": [1.0, 2, 3, 4, None], "b": [2.0, None, 1, 9, 4], "c": [5.0] * 5})
     df = spark.createDataFrame([tuple(None if math.isnan(v) else v for v in r) for r in frame.itertuples(index=False)],
                                "a double, b double, c double")
-    found = {(r["i"], r["j"]): r["r"] for r in profile.correlation_pairs(df, ["a", "b", "c"]).collect()}
+    found = {(r["i"], r["j"]): r["r"] for r in correlation.correlation_pairs(df, ["a", "b", "c"]).collect()}
     assert found[(0, 1)] == pytest.approx(frame.corr().loc["a", "b"], abs=1e-3)
     assert found[(0, 2)] is None and found[(1, 2)] is None
-    monkey = profile.PAIRS_PER_SCAN
-    try:
-        profile.PAIRS_PER_SCAN = 1
-        assert {(r["i"], r["j"]): r["r"] for r in profile.correlation_pairs(df, ["a", "b", "c"]).collect()} == found
-    finally:
-        profile.PAIRS_PER_SCAN = monkey
+    monkeypatch.setattr(correlation, "BLOCK", 2)
+    assert {(r["i"], r["j"]): r["r"] for r in correlation.correlation_pairs(df, ["a", "b", "c"]).collect()} == found
 
 
 def test_group_tables_nulls_and_ties(spark):
@@ -312,3 +309,113 @@ def test_outlier_guards(spark):
     assert anomalies.guard_warning(df, ["v"]) is None
     assert "numeric rows" in anomalies.guard_warning(df.limit(4), ["v"])
     assert "numeric columns" in analyse_table(df.select("id", F.lit("a").alias("g")), ["id"], columns=["g"]).anomaly_warning
+
+
+WIDE = 300
+
+
+def counted_source(spark, seen, n=2000):
+    """A table of 300 columns whose every scan adds its rows to ``seen``: numbers, some missing, some with a great offset, one constant."""
+
+    def rows(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            base = frame["id"].to_numpy()
+            out = {}
+            for c in range(WIDE):
+                v = np.sin(base * (c % 7 + 1) + c) * (c + 1) + (1e9 if c % 50 == 3 else 0) + base * (c % 3)
+                v[(base + c) % 11 == 0] = np.nan
+                out[f"c{c}"] = np.full(len(base), 0.1) if c == 9 else v
+            yield pd.DataFrame(out)
+
+    return spark.range(0, n, 1, 4).mapInPandas(rows, ", ".join(f"c{c} double" for c in range(WIDE)))
+
+
+def wide_frame(n=2000):
+    base = np.arange(n)
+    out = {}
+    for c in range(WIDE):
+        v = np.sin(base * (c % 7 + 1) + c) * (c + 1) + (1e9 if c % 50 == 3 else 0) + base * (c % 3)
+        v[(base + c) % 11 == 0] = np.nan
+        out[f"c{c}"] = np.full(n, 0.1) if c == 9 else v
+    return pd.DataFrame(out)
+
+
+def test_wide_statistics_take_two_scans(spark):
+    """Moments, medians and quartiles of 300 columns: one pass for counts and sketches, one that settles the ranks."""
+    seen, n = spark.sparkContext.accumulator(0), 2000
+    df, frame = counted_source(spark, seen), wide_frame()
+    found = {r["column"]: r for r in profile.numeric_stats(df, df.columns).collect()}
+    assert seen.value == 2 * n
+    for c in frame:
+        assert found[c]["median"] == pytest.approx(frame[c].median(), rel=1e-12, abs=1e-9) and found[c]["mean"] == pytest.approx(frame[c].mean(), rel=1e-9, abs=1e-9)
+    quartiles = quantiles.exact_quantiles(df, df.columns, [0.25, 0.5, 0.75])
+    assert seen.value == 4 * n
+    for c in frame:
+        assert quartiles[c] == pytest.approx(list(frame[c].quantile([0.25, 0.5, 0.75])), rel=1e-12, abs=1e-9)
+
+
+def test_wide_correlations_take_one_scan(spark):
+    """Beside a look at the first rows; the matrix and the strongest pair read the same sums."""
+    seen, n = spark.sparkContext.accumulator(0), 2000
+    df, frame = counted_source(spark, seen), wide_frame()
+    sums = materialise(correlation.correlations(df, df.columns), "correlations")
+    assert n <= seen.value <= n + 1000
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.correlation_matrix(df, df.columns, sums).collect()}
+    top = correlation.top_correlation(df, df.columns, sums).first()
+    assert seen.value <= n + 1000 and len(found) == WIDE * WIDE
+    wanted = frame.corr()
+    for a in list(frame)[::13]:
+        for b in frame:
+            assert found[a, b] is None if "c9" in (a, b) else found[a, b] == pytest.approx(wanted.loc[a, b], abs=5.1e-4)
+    size = max(abs(v) for (a, b), v in found.items() if a != b and v is not None)
+    assert abs(top["r"]) == size
+
+
+def test_great_offsets_cost_no_digits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=3000)
+    data = np.stack([x + 1e12, x * 0.5 + rng.normal(size=3000) * 0.5 - 3e11, np.full(3000, 7e15), np.where(np.arange(3000) % 2, 0.1, np.nan)], axis=1)
+    df = spark.createDataFrame(pd.DataFrame(data, columns=list("abcd"))).repartition(5)
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.correlation_pairs(df, list("abcd")).collect()}
+    assert found["a", "b"] == pytest.approx(np.corrcoef(data[:, 0] - 1e12, data[:, 1] + 3e11)[0, 1], abs=1e-3)
+    assert [found[k] for k in (("a", "c"), ("b", "c"), ("a", "d"), ("c", "d"))] == [None] * 4
+
+
+def test_wide_distincts_copy_no_rows(spark):
+    """Distinct counts of 300 columns of all kinds without an Expand, and the first samples of each in row order."""
+    n = 400
+    data = pd.DataFrame({"k": np.arange(n)} | {f"c{c}": [None if (i + c) % 17 == 0 else f"v{(i * 7 + c) % (c + 1)}" for i in range(n)] for c in range(298)})
+    df = spark.createDataFrame(data).withColumn("zero", F.when(F.col("k") % 2 == 0, 0.0).otherwise(-0.0)).repartition(4)
+    profiled = schema.schema_profile(df)
+    assert "Expand" not in profiled._jdf.queryExecution().toString()
+    found = {r["column"]: r for r in profiled.collect()}
+    for c in data:
+        assert (found[c]["unique"], found[c]["non_null"], found[c]["missing"]) == (data[c].nunique(), data[c].count(), data[c].isna().sum())
+    assert found["zero"]["unique"] == 1 and len(found) == 300
+    summary = profile.column_summary(df, ["k"])
+    assert "Expand" not in summary._jdf.queryExecution().toString()
+    shown = {r["column"]: r for r in summary.collect()}
+    for c in list(data)[1:]:
+        assert shown[c]["samples"] == ", ".join(data[c].dropna()[:3]) and shown[c]["unique"] == data[c].nunique()
+    empty = schema.schema_profile(df.limit(0)).collect()
+    assert len(empty) == 300 and all(r["unique"] == r["non_null"] == r["missing"] == 0 for r in empty)
+
+
+def test_samples_with_ties_and_nulls_in_the_order(spark):
+    rows_ = [(None, "z"), (1, None), (1, "d"), (1, "c"), (1, "b"), (1, "a"), (0, "y"), (2, "x")] * 3
+    df = spark.createDataFrame(rows_, "o int, v string").repartition(3)
+    assert profile.first_samples(df, ["v"], ["o"], 7).first()["samples"] == "z, z, z, y, y, y, a"
+    assert profile.first_samples(df, ["v"], [], 4).first()["samples"] == "a, a, a, b"
+
+
+@pytest.mark.parametrize("error", [1e-6, 0.4])
+def test_ranks_outside_their_brackets_are_found(spark, monkeypatch, error):
+    """Brackets that are too narrow miss their ranks, and wide ones are sketched again."""
+    monkeypatch.setattr(quantiles, "rank_error", lambda k: error)
+    monkeypatch.setattr(quantiles, "SIZES", (8, 8))
+    values = [random.Random(i).gauss(0, 1) for i in range(3000)] + [0.5] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    for exact_rows in (1, 10_000):
+        found = quantiles.exact_quantiles(df, ["v"], [0.0, 0.1, 0.5, 0.77, 1.0], exact_rows)["v"]
+        assert found == pytest.approx(list(np.percentile(values, [0, 10, 50, 77, 100])), abs=1e-12)
