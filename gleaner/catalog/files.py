@@ -92,3 +92,27 @@ select rows_of.* from rows_of join best using (file, page)""")
 def largest_table(spark, folder):
     rows = cells.largest_table(cells.cells_to_rows(event_cells(spark, folder)))
     return cells.to_table(rows, ["id", "col_1", "id_2"])
+
+
+@query("load_report", """with held as (
+ select 'csv/source=' || coalesce(source, 'none') as folder, 'csv' as kind, count(*) as rows, 4::int as columns, null::bigint as characters, null::varchar as error
+ from documents group by source
+ union all select 'txt/item_id=' || item_id, 'txt', null, null, length(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g')), null from benchmark
+ union all select 'other', 'unknown', null, null, null, 'Unsupported file type. Please upload CSV, Excel, PDF, or TXT.' from (select 1)
+ union all select 'gaps', 'csv', count(*), 2, null, 'The CSV file contains no usable rows.' from labels
+ union all select 'empty', 'txt', null, null, null, 'The uploaded file is empty.' from (select 1)
+ union all select 'blank', 'txt', null, null, 0, 'The text file is empty after decoding.' from (select 1))
+select * from held""")
+def load_report(spark, folder):
+    """Tables of documents by source, benchmark texts, labels in a format that isn't read and as cells that are all missing, an empty and a blank file."""
+    path = fresh_path(spark, "load")
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    named = documents.select("doc_id", "lang", "n_chars", F.concat(F.lit('a "b", c'), "source").alias("label"), F.coalesce("source", F.lit("none")).alias("source"))
+    named.repartition("source").write.option("header", True).option("escape", '"').partitionBy("source").csv(f"{path}/csv")
+    table(spark, folder, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(f"{path}/txt")
+    labels.coalesce(1).write.json(f"{path}/other")
+    labels.select(F.lit("NA").alias("doc_id"), F.lit("null").alias("quality")).coalesce(1).write.option("header", True).csv(f"{path}/gaps")
+    labels.limit(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/empty")
+    labels.limit(1).select(F.lit(" \t ").alias("value")).coalesce(1).write.text(f"{path}/blank")
+    found = files.folder_report(spark, path)
+    return found.select(F.regexp_extract(F.url_decode("path"), r"/load-[0-9a-f]+/(.*)/[^/]+$", 1).alias("folder"), "kind", "rows", "columns", "characters", "error")

@@ -445,3 +445,15 @@ def datetime_coercion(spark, folder):
         .when(status == "O", F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(day).alias("mostly_date"),
         F.when(status == "O", day).otherwise(status).alias("some_dates"))
     return schema.coerce_datetimes(raw)
+
+
+@query("day_first_dates", """select o_orderkey, o_orderdate as european, o_orderdate as dotted, o_orderdate as american, date_trunc('minute', o_orderdate) as timed,
+ case when day(o_orderdate) <= 12 then strftime(o_orderdate, '%m/%d/%Y') else 'no date' end as doubtful from orders""")
+def day_first_dates(spark, folder):
+    """Dates told day first, with slashes, dots and times of day, and month first; the days above twelve decide for a whole column."""
+    day = F.col("o_orderdate")
+    raw = table(spark, folder, "orders").select(
+        "o_orderkey", F.date_format(day, "dd/MM/yyyy").alias("european"), F.date_format(day, "d.M.yyyy").alias("dotted"), F.date_format(day, "M/d/yyyy").alias("american"),
+        F.date_format(day, "d/M/yyyy H:mm").alias("timed"),
+        F.when(F.dayofmonth(day) <= 12, F.date_format(day, "MM/dd/yyyy")).otherwise("no date").alias("doubtful"))
+    return schema.coerce_datetimes(raw)

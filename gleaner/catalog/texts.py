@@ -7,7 +7,7 @@ from gleaner.functions import labels
 from gleaner.functions.fixed import KEYWORD_STOP_WORDS, TOKEN_STOP_WORDS
 from gleaner.functions.storage import materialise, spread
 from gleaner.functions.text import LINE_BREAK, SPACE, normalise_whitespace
-from gleaner.operators import charts, documents, keywords, similarity, summaries
+from gleaner.operators import charts, documents, joined, keywords, similarity, summaries
 
 
 def docs(spark, folder):
@@ -175,7 +175,7 @@ corpus_terms as materialized (select row_number() over (order by round(score, 9)
 
 @query("corpus_keywords", f"with {CORPUS_KEYWORDS_SQL} select * from corpus_terms")
 def corpus_keywords(spark, folder):
-    return keywords.corpus_keywords(table(spark, folder, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
+    return keywords.corpus_keywords(docs(spark, folder), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 @query("corpus_contexts", f"""with {CORPUS_KEYWORDS_SQL}, plain as (select doc_id, pos, sentence, {key_sql('sentence')} as plain from clean)
@@ -318,3 +318,44 @@ walk as (select 0::bigint as step, []::bigint[] as gone
 select doc_id, len(w)::bigint as n_words, not list_contains((select arg_max(gone, step) from walk), doc_id) as kept from worded""")
 def corpus_near_duplicates(spark, folder):
     return similarity.near_duplicates(docs(spark, folder), score="n_chars")
+
+
+# All documents as one body of text, in the place of ``documents``.
+BODY_SQL = f"""bodies as (select doc_id, {compact_sql('text')} as body from documents),
+whole as (select 0 as doc_id, string_agg(body, chr(10) || chr(10) order by doc_id) as text, count(*) as texts from bodies where body <> ''),
+{SENTENCES_SQL.replace('from documents', 'from whole')}"""
+
+
+@query("corpus_stats", rf"""with recursive {BODY_SQL},
+w as (select row_number() over (order by ord) as i, length(sentence) as n from sentences where any_word),
+c as materialized (select i, n, (sum(n) over (order by i))::bigint as upto from w),
+following as materialized (select a.i, case when b.i is not null then greatest(a.i + 1, b.i) end as nxt from c a asof left join c b on a.upto - a.n + 4500 < b.upto),
+walk as (select 1::bigint as i, 1::bigint as chunk where exists (select 1 from c)
+  union all select nxt, chunk + 1 from walk join following using (i) where nxt <= (select max(i) from c)),
+s as (select body, (select count(*) from clean) as sentences from compacted)
+select (select texts from whole) as texts, length(body)::bigint as char_count,
+ len(list_filter(string_split_regex(body, '{SPACE}+'), lambda w: w <> ''))::bigint as word_count, len(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_\-'']*'))::bigint as token_count,
+ len(list_filter(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_\-'']*'), lambda t: length(t) > 2 and lower(t) not in {quoted(TOKEN_STOP_WORDS)}))::bigint as filtered_token_count,
+ sentences::bigint as sentence_count, coalesce((select max(chunk) from walk), 1)::bigint as chunk_count, sentences > 0 as readable from s""")
+def corpus_stats(spark, folder):
+    return joined.corpus_stats(docs(spark, folder), "doc_id", "text")
+
+
+def _level_sql(before, after):
+    """One level of condensing numbered picks: up to 24 neighbours are ranked together, unless 12 or fewer are left."""
+    count = f"(select case when n > 12 then 2 else 1000000 end from {after}_n)"
+    return f"""{after}_n as materialized (select count(distinct number) as n from {before}),
+{after}_in as materialized (select number // (select case when n > 12 then greatest(2, least(24, ceil(n / 12)::bigint)) else 1 end from {after}_n) as unit,
+  number * 1000 + place as pos, sentence from {before}), {textrank_sql(after, f'{after}_in', count)},
+{after}_picks as materialized (select unit as number, row_number() over (partition by unit order by pos) as place, sentence from {after}_best)"""
+
+
+@query("corpus_summary", rf"""with recursive {SENTENCES_SQL}, {TEXTRANK_SQL},
+numbered as (select unit, row_number() over (order by doc_id, chunk) - 1 as number from (select distinct unit, doc_id, chunk from units)),
+picks as materialized (select number, row_number() over (partition by number order by pos) as place, sentence from t_best join numbered using (unit)),
+{_level_sql('picks', 'e')}, {_level_sql('e_picks', 'f')}, {_level_sql('f_picks', 'g')},
+h_in as materialized (select 0 as unit, number * 1000 + place as pos, sentence from g_picks),
+{textrank_sql('h', 'h_in', '(select case when count(distinct number) <= 1 then 1000000 else 4 end from g_picks)')}
+select string_agg(sentence, ' ' order by pos) as summary from h_best""")
+def corpus_summary(spark, folder):
+    return summaries.corpus_summary(docs(spark, folder), "doc_id", "text")

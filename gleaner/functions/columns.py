@@ -44,7 +44,7 @@ def long_form(df: DataFrame, cells: list[str]) -> DataFrame:
     return df.select(F.expr("inline(array(" + ", ".join(cells) + "))"))
 
 
-ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], types: dict[str, str]) -> DataFrame:

@@ -42,11 +42,15 @@ TIMESTAMP_SHAPES = [
     (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}", "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
     (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", "M/d/yyyy H:mm"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
     (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
     (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
     (r"(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])", "yyyyMMdd"),
     (r"\d{4}-\d{2}", "yyyy-MM"),
 ]
+# A date whose day and month may come in either order, with dots or dashes as well.
+EITHER_ORDER = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?= |$)"
 # The offset behind a time of day, Z or hours and minutes; such times are told in UTC.
 OFFSET_SHAPE = r"(?<=:\d{2}|\.\d{1,6})\s?(Z|[+-]\d{2}:?\d{2})$"
 NUMBER_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -76,6 +80,8 @@ FEW_NUMBERS = "Not enough numeric rows are available for anomaly detection."
 
 # Messages for rejected files.
 REJECT_EMPTY = "The uploaded file is empty."
+REJECT_ROWS = "The CSV file contains no usable rows."
+REJECT_TEXT = "The text file is empty after decoding."
 REJECT_SIZE = "The uploaded file exceeds the 10MB size limit."
 REJECT_KIND = "Unsupported file type. Please upload CSV, Excel, PDF, or TXT."
 

@@ -1,12 +1,13 @@
 """File inventory, CSV and text readers."""
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.fixed import FILE_KINDS, MISSING_CELLS, NUMBER_SHAPE, REJECT_EMPTY, REJECT_KIND, REJECT_SIZE
+from gleaner.functions.fixed import FILE_KINDS, MISSING_CELLS, NUMBER_SHAPE, REJECT_EMPTY, REJECT_KIND, REJECT_ROWS, REJECT_SIZE, REJECT_TEXT
 from gleaner.functions.text import compact_text
 
 BYTE_ORDER_MARK = "\ufeff"
@@ -83,13 +84,15 @@ def infer_types(cells: DataFrame) -> DataFrame:
     """Missing-value cells to null, then whole numbers, numbers or booleans where every remaining cell is one."""
     names = cells.columns
     held = cells.toDF(*[f"c{i}" for i in range(len(names))])
-    held = held.select([F.when(~F.trim(c).isin(MISSING_CELLS), F.col(c)).alias(c) for c in held.columns])
+    # A blank cell is missing, and so is a cell that is one of the fixed texts, without blanks around it.
+    held = held.select([F.when(~F.col(c).isin(MISSING_CELLS), F.col(c)).alias(c) for c in held.columns])
     checks = []
     for c in held.columns:
         cell = F.trim(c)
         checks += [
             F.count(c).alias(f"n_{c}"), F.count_if(cell.rlike(WHOLE_NUMBER)).alias(f"w_{c}"),
             F.count_if(cell.rlike(WHOLE_NUMBER) & cell.try_cast("bigint").isNull()).alias(f"l_{c}"),
+            F.max(F.abs(cell.try_cast("decimal(38,0)"))).alias(f"m_{c}"),
             F.count_if(cell.rlike(NUMBER_SHAPE) | cell.rlike(INFINITE)).alias(f"d_{c}"),
             F.count_if(F.lower(cell).isin("true", "false")).alias(f"b_{c}")]
     row = held.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
@@ -97,11 +100,14 @@ def infer_types(cells: DataFrame) -> DataFrame:
     for c, name in zip(held.columns, names):
         n, cell = row[f"n_{c}"], F.trim(c)
         if n and row[f"w_{c}"] == n:
-            # Whole numbers with gaps become doubles, as missing values are not whole numbers; longer ones keep all digits.
+            # Whole numbers with gaps become doubles, as missing values are not whole numbers, unless a double would lose digits; longer
+            # ones keep all digits.
             if row[f"l_{c}"]:
                 value = cell.cast("decimal(38,0)")
             else:
-                value = cell.cast("bigint") if n == row["rows"] else cell.cast("bigint").cast("double")
+                value = cell.cast("bigint")
+                if n < row["rows"] and row[f"m_{c}"] <= 1 << 53:
+                    value = value.cast("double")
         elif n and row[f"d_{c}"] == n:
             value = F.when(cell.rlike(INFINITE), F.when(cell.startswith("-"), float("-inf")).otherwise(float("inf"))) \
                 .otherwise(cell.try_cast("double"))
@@ -116,14 +122,46 @@ def infer_types(cells: DataFrame) -> DataFrame:
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: path and compacted text, UTF-8 or else Latin-1. Folder partition columns are kept."""
     files = spark.read.format("binaryFile").load(path)
-    body = F.col("content")
-    text = F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(F.decode(body, "ISO-8859-1"))
     partitions = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
-    return files.select("path", *partitions, compact_text(F.regexp_replace(text, f"^{BYTE_ORDER_MARK}", "")).alias("text"))
+    return files.select("path", *partitions, _decoded(F.col("content")).alias("text"))
+
+
+def folder_report(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """The inventory of ``path`` with what each file holds: ``rows`` and ``columns`` of tables, ``characters`` of texts, and the reason in ``error``
+    where a file holds nothing that can be used.
+
+    Each format is read once, whatever the number of its files, and counted by the file that a line came from. A row is a line with any
+    cell that isn't missing; Excel and PDF files are listed only."""
+    listing = file_inventory(spark, path, max_bytes)
+    reader = lambda ending: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in ending))
+    key = F.col("_metadata.file_path").alias("from")
+    lines = reader("csv").text(path).select(key, F.trim(F.regexp_replace("value", f"^{BYTE_ORDER_MARK}|\\r$", "")).alias("line"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where("line <> ''").withColumn("at", F.when(F.col("block") == 0, F.monotonically_increasing_id()))
+    missing = "|".join(re.escape(c) for c in MISSING_CELLS if c)
+    usable = ~F.col("line").rlike(rf"^(?:(?:{missing})?,)*(?:{missing})?$")
+    tables = lines.groupBy("from").agg(
+        F.min_by("line", "at").alias("header"), F.count(F.lit(1)).alias("lines"), F.count_if(usable).alias("usable"), F.min_by(usable, "at").alias("told")).select(
+            "from", (F.col("lines") - 1).alias("rows"), F.regexp_count("header", F.lit(r'(?:^|,)(?:"(?:[^"]|"")*"|[^,"]*)')).alias("columns"),
+            (F.col("usable") - F.col("told").cast("int") < 1).alias("useless"))
+    texts = reader("txt").format("binaryFile").load(path).select(F.col("path").alias("from"), F.char_length(_decoded(F.col("content"))).cast("long").alias("characters"))
+    # The scan of lines tells its files as addresses, the others as plain paths.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    decoded = F.url_decode(F.regexp_replace("from", r"\+", "%2B"))
+    found = listing.withColumn("name", plain("path")).join(tables.withColumn("name", plain(decoded)).drop("from"), "name", "left").join(
+        texts.withColumn("name", plain("from")).drop("from"), "name", "left")
+    error = F.coalesce("error", F.when((F.col("kind") == "csv") & F.coalesce("useless", F.lit(True)), REJECT_ROWS).when(
+        (F.col("kind") == "txt") & (F.coalesce("characters", F.lit(0)) == 0), REJECT_TEXT))
+    return found.withColumn("error", error).select("path", "file", "kind", "bytes", "rows", F.col("columns").cast("int").alias("columns"), "characters", "error")
+
+
+def _decoded(content: Column) -> Column:
+    """Bytes of a text file as compacted text, UTF-8 or else Latin-1."""
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+    return compact_text(F.regexp_replace(text, f"^{BYTE_ORDER_MARK}", ""))
 
 
 def load_report(inventory: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """The inventory with row and column counts of the tables that were read, by file name."""
+    """An inventory with row and column counts of tables that a caller has read itself, by file name."""
     spark = inventory.sparkSession
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("columns", T.IntegerType())])
     # One row per file that was opened as a table.

@@ -419,3 +419,16 @@ def test_ranks_outside_their_brackets_are_found(spark, monkeypatch, error):
     for exact_rows in (1, 10_000):
         found = quantiles.exact_quantiles(df, ["v"], [0.0, 0.1, 0.5, 0.77, 1.0], exact_rows)["v"]
         assert found == pytest.approx(list(np.percentile(values, [0, 10, 50, 77, 100])), abs=1e-12)
+
+
+def test_order_of_day_and_month_is_decided_by_the_column(spark):
+    rows_ = [("31/12/2024", "12/31/2024", "1/2/2024", "31.12.2024 7:05", "13-1-2024"), ("15/01/2025", "01/15/2025", "3/4/2025", "1.2.2025 23:59:58", "1-13-2024"),
+             ("02/03/2025", "02/03/2025", "5/6/2025", "02.03.2025", "14-2-2024"), (None, None, None, None, "15-3-2024")]
+    df = spark.createDataFrame(rows_, "european string, american string, open string, dotted string, both string")
+    table, roles = schema.detect_roles(df)
+    assert roles.datetime == df.columns
+    found = [[r[c] for r in table.collect()] for c in df.columns]
+    day = lambda *a: dt.datetime(*a)
+    assert found[0] == [day(2024, 12, 31), day(2025, 1, 15), day(2025, 3, 2), None] and found[1] == [day(2024, 12, 31), day(2025, 1, 15), day(2025, 2, 3), None]
+    assert found[2] == [day(2024, 1, 2), day(2025, 3, 4), day(2025, 5, 6), None] and found[3][:3] == [day(2024, 12, 31, 7, 5), day(2025, 2, 1, 23, 59, 58), day(2025, 3, 2)]
+    assert found[4] == [day(2024, 1, 13), None, day(2024, 2, 14), day(2024, 3, 15)]

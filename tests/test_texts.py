@@ -1,6 +1,8 @@
 """Text operators, readers, matching and ranking on small inputs, against plain Python."""
 
+import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -287,6 +289,31 @@ def test_texts_and_inventory(spark, tmp_path):
     assert {r["file"]: r["rows"] for r in report.collect()}["a.txt"] == 3
 
 
+def test_folder_report(spark, tmp_path):
+    """Files of all kinds, in folders and with odd names, each format read once."""
+    (tmp_path / "deep er").mkdir()
+    (tmp_path / "deep er" / "ta+ble %41.CSV").write_bytes(b'\xef\xbb\xbfa,"b, ""c""",d\r\n1,"x,y",\r\n\r\nNA,,\r\n2,3,4\r\n')
+    (tmp_path / "holes.csv").write_text("a,b\nNA,\n,null\n")
+    (tmp_path / "head.csv").write_text("a,b\n")
+    (tmp_path / "t.TXT").write_bytes(" caf\u00e9 \r\n\r\n\r\n\r\nx".encode("latin-1"))
+    (tmp_path / "blank.txt").write_text(" \n")
+    (tmp_path / "none.txt").write_text("")
+    (tmp_path / "x.pdf").write_bytes(b"%PDF")
+    (tmp_path / "y").write_bytes(b"?")
+    found = {r["file"]: (r["kind"], r["rows"], r["columns"], r["characters"], (r["error"] or "ok").split()[1:2]) for r in files.folder_report(spark, str(tmp_path)).collect()}
+    assert found == {
+        "ta+ble %41.CSV": ("csv", 3, 3, None, []), "holes.csv": ("csv", 2, 2, None, ["CSV"]), "head.csv": ("csv", 0, 2, None, ["CSV"]), "t.TXT": ("txt", None, None, 8, []),
+        "blank.txt": ("txt", None, None, 0, ["text"]), "none.txt": ("txt", None, None, None, ["uploaded"]), "x.pdf": ("pdf", None, None, None, []),
+        "y": ("unknown", None, None, None, ["file"])}
+
+
+def test_missing_cells_and_long_numbers_with_gaps(spark):
+    cells = spark.createDataFrame([(" NA ", "1234567890123456789", "7"), ("NA", None, None), ("x", "1234567890123456788", "8")], "a string, b string, c string")
+    typed = files.infer_types(cells)
+    assert typed.dtypes == [("a", "string"), ("b", "bigint"), ("c", "double")]
+    assert [tuple(r) for r in typed.collect()] == [(" NA ", 1234567890123456789, 7.0), (None, None, None), ("x", 1234567890123456788, 8.0)]
+
+
 def test_union_of_like_tables(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, "y")], "k int, b string")
     assert sorted(map(tuple, files.union_tables([a, b]).collect())) == [(1, "x", None), (2, None, "y")]
@@ -300,3 +327,51 @@ def test_corpus_summary_has_the_wanted_sentences(spark, chunks):
     rows = [(i, " ".join(" ".join(rng.choice(words, 12)).capitalize() + "." for _ in range(30))) for i in range(chunks)]
     found = summaries.corpus_summary(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").first()["summary"]
     assert len([s for s in found.split(".") if s.strip()]) == (2 if chunks == 1 else 4)
+
+
+def dense_ranks(sentences):
+    """The ranks by the whole matrix."""
+    bags = [Counter(summaries.WORD.findall(s.lower())) for s in sentences]
+    index = {w: i for i, w in enumerate(dict.fromkeys(w for bag in bags for w in bag))}
+    counts = np.zeros((len(bags), max(len(index), 1)))
+    for i, bag in enumerate(bags):
+        for w, n in bag.items():
+            counts[i, index[w]] = n
+    logs = np.log(np.maximum(counts.sum(axis=1), 1.0))
+    scale = logs[:, None] + logs[None, :]
+    shared = counts @ counts.T
+    edges = np.where(np.isclose(scale, 0.0), shared, shared / np.where(scale == 0, 1, scale))
+    step = 0.15 / len(bags) + 0.85 * edges / (edges.sum(axis=1, keepdims=True) + 1e-7)
+    ranks, moved = np.full(len(bags), 1.0 / len(bags)), 1.0
+    while moved > 1e-4:
+        ranks, before = step.T @ ranks, ranks
+        moved = np.linalg.norm(ranks - before)
+    return ranks
+
+
+@pytest.mark.parametrize("n, cells", [(1, 10), (7, 10), (60, 4_000_000), (400, 4_000_000), (400, 2)])
+def test_ranks_without_the_matrix(monkeypatch, n, cells):
+    rng = random.Random(n)
+    sentences = [" ".join(rng.choice(["a", "sun", "moon", "tree", f"w{rng.randrange(40)}", f"x{i}", "12"]) for _ in range(rng.choice([0, 1, 1, 4, 9, 25]))) for i in range(n)]
+    graph = summaries.SentenceGraph
+    monkeypatch.setattr(summaries, "SentenceGraph", lambda s: (g := graph(s), setattr(g, "block", max(1, cells // max(len(g.row), 1))))[0])
+    assert summaries.sentence_ranks(sentences) == pytest.approx(dense_ranks(sentences), abs=1e-12)
+
+
+def test_long_documents_are_summarised_in_the_same_two_steps(spark):
+    """Ninety chunks, far more than are ever condensed at once elsewhere, and 40,000 sentences in one ranking."""
+    rng = random.Random(3)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    body = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(6, 14))).capitalize() + "." for _ in range(6000)]
+    found = summaries.document_summary(spark.createDataFrame([(1, " ".join(body))], "id int, text string"), "id", "text").first()
+    chunks, picks = [], []
+    for s in body:
+        if chunks and sum(map(len, chunks[-1])) + len(s) <= 4500:
+            chunks[-1].append(s)
+        else:
+            chunks.append([s])
+    best = lambda some, k: [some[i] for i in sorted(np.lexsort((np.arange(len(some)), -np.round(dense_ranks(some), 9)))[:k])]
+    for c in chunks:
+        picks += best(c, 2)
+    assert found["chunks"] == len(chunks) == 90 and found["summary"] == " ".join(best(picks, 4))
+    assert len(summaries.sentence_ranks(body * 7)) == 42_000
