@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.storage import materialise
 from gleaner.llm.common import bounded_batches
 
 # Patterns of the base scan, with letters of the keywords in either case.
@@ -137,11 +138,18 @@ def guess_bits(value: str, rank: dict[str, int] = RANK) -> float:
 def ranked_words(docs: DataFrame, text: str = "text", most: int = 10_000) -> dict[str, int]:
     """Ranks of the words that guessers try: the fixed ones, then the ``most`` commonest words of the texts, of three letters and more.
 
-    Words are counted where they are read and summed; only ``most`` of them reach the driver."""
+    Words are counted where they are read and summed. How many words have about which count tells from which count on they are wanted, so
+    that only about ``most`` of them reach the driver, whatever the number of partitions."""
     words = F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(r"[a-z]{3,24}"), F.lit(0)))
-    counted = docs.select(words.alias("word")).groupBy("word").count().where("count > 1")
+    level = F.floor(F.log2("count") * 8).cast("int").alias("level")
+    counted = materialise(docs.select(words.alias("word")).groupBy("word").count().where("count > 1").withColumn("level", level), "words")
+    least, held = 0, 0
+    for row in sorted(counted.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):  # at most eight levels for each bit of a count
+        least, held = row["level"], held + row["n"]
+        if held >= most:
+            break
     rank = dict(RANK)
-    for row in counted.orderBy(F.desc("count"), "word").limit(most).collect():
+    for row in counted.where(F.col("level") >= least).orderBy(F.desc("count"), "word").limit(most).collect():
         rank.setdefault(row["word"], len(rank) + 1)
     return rank
 
