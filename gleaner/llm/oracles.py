@@ -97,3 +97,31 @@ stays as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from worded left join stays using (doc_id)
 """
+
+REPEATS_SQL = """
+with h as (select doc_id, hex(coalesce(text, '')) as x, strlen(coalesce(text, ''))::bigint as n from documents),
+windows as (select doc_id, s, substring(x, 2 * s + 1, 100) as k from h, unnest(range(0, n - 49)) r(s)),
+first as (select k, min(doc_id) as earliest from windows group by k),
+gone as materialized (select doc_id, s from windows join first using (k) where doc_id > earliest),
+bytes as (select doc_id, p, substring(x, 2 * p + 1, 2) as pair from h, unnest(range(0, n)) r(p)),
+marked as (select b.doc_id, b.p, b.pair, coalesce(b.p - g.s < 50, false) as removed from bytes b asof left join gone g on b.doc_id = g.doc_id and b.p >= g.s),
+edged as (select *, removed and not coalesce(lag(removed) over (partition by doc_id order by p), false) as starts from marked),
+summed as (select doc_id, count(*) filter (removed) as n_removed, count(*) filter (starts) as n_spans,
+  string_agg(pair, '' order by p) filter (not removed) as kept from edged group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, ''))) as kept_sha256 from h left join summed using (doc_id)
+"""
+
+NEAR_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as g from worded),
+each as materialized (select doc_id, len(g) as n, unnest(g) as x from sets),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.doc_id <> b.doc_id group by all
+  having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached as (select doc_id, doc_id as r from sets union select doc_id, b from reached join links on r = a)
+select doc_id, len(any_value(g))::bigint as n_shingles, min(r) as component_id, doc_id = min(r) as kept from sets join reached using (doc_id) group by doc_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.storage import fresh_path
 from gleaner.llm import (chat_format, cross_polytope, fill_in_middle, guess_cost, hd_language, ordinal_quality, product_codes, set_sketch, source_mix,
                          suffix_ranges, template_decontam, warc_salvage, window_repeats)
-from gleaner.llm.oracles import CHAT_SQL, CODES_SQL, MIDDLE_SQL, WARC_SQL, WINDOWS_SQL
+from gleaner.llm.oracles import CHAT_SQL, CODES_SQL, MIDDLE_SQL, NEAR_SQL, REPEATS_SQL, WARC_SQL, WINDOWS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def op3(spark, folder):
         page.alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
-@query("op4_suffix_ranges")
+@query("op4_suffix_ranges", REPEATS_SQL)
 def op4(spark, folder):
     found = suffix_ranges.remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
@@ -70,7 +70,7 @@ def op7(spark, folder):
     return guess_cost.digest_columns(table(spark, folder, "documents"))
 
 
-@query("op8_set_sketch")
+@query("op8_set_sketch", NEAR_SQL)
 def op8(spark, folder):
     return set_sketch.near_duplicates(table(spark, folder, "documents"))
 
