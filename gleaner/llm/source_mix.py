@@ -12,6 +12,8 @@ from gleaner.functions.storage import materialise
 FIT_WIDTH = 1 << 16
 #: Sub-groups of each (source, length) group, so that many documents of one length are ranked by several tasks.
 SLOTS = 64
+#: Parts, by hash, in which rows without an id are ranked.
+PARTS = 1024
 
 
 def count_words(text: Column) -> Column:
@@ -129,17 +131,35 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 def with_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``copies``, how often it takes them.
 
-    Rows that repeat an id, a source and a size get their copies in any order. A text without a word can't fill a target, but stays
-    with one copy, as it costs nothing."""
+    Of rows that repeat an id, a source and a size, those with the least hash of text and further columns come first, so reruns
+    keep the same ones however the rows are dealt; rows without an id are ranked in parts of that hash, as they may be many. Null
+    texts and texts without a word can't fill a target, but stay with one copy, as they cost nothing. A column named ``copies``
+    gives way to the result's; an empty table gives no rows."""
     key = ["mix_id", "mix_source", "mix_size"]
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
-    plan = mix(docs, doc, text, source, **options).select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies").withColumn("mix_nth", nth)
-    keyed = docs.withColumns({"mix_id": F.col(f"`{doc}`"), "mix_source": F.col(f"`{source}`").cast("string"), "mix_size": count_words(F.col(f"`{text}`"))})
-    keyed, plan = keyed.withColumn("mix_nth", nth).alias("d"), plan.withColumnsRenamed({"copies": "mix_copies"}).alias("p")
-    same = F.lit(True)
-    for c in (*key, "mix_nth"):
-        same &= F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
-    copies = F.when(F.col("p.mix_size") == 0, 1).otherwise(F.col("p.mix_copies"))
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({
+        "mix_id": F.col(f"`{doc}`"), "mix_source": F.col(f"`{source}`").cast("string"), "mix_size": count_words(F.col(f"`{text}`")),
+        "mix_draw": F.xxhash64(F.col(f"`{text}`"), *others)})
+    keyed = keyed.withColumn("mix_slot", F.when(F.col("mix_id").isNull(), F.pmod("mix_draw", F.lit(PARTS)).cast("int")).otherwise(0))
+    base = F.min("copies")
+    plan = materialise(mix(docs, doc, text, source, **options).select(
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies").groupBy(*key).agg(
+        base.alias("mix_base"), (F.sum("copies") - base * F.count("*")).alias("mix_extra")), "plan")
+
+    def same(names):
+        found = F.lit(True)
+        for c in names:
+            found &= F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
+        return found
+
+    earlier = W.partitionBy(*key).orderBy("mix_slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = keyed.where("mix_id is null").groupBy(*key, "mix_slot").agg(F.count("*").alias("mix_n")).withColumn(
+        "mix_before", F.coalesce(F.sum("mix_n").over(earlier), F.lit(0))).alias("d")
+    unnamed = slots.join(plan.where("mix_id is null").alias("p"), same(key[1:])).select(
+        *[F.col(f"d.{c}") for c in (*key, "mix_slot")], "mix_base",
+        F.least(F.greatest(F.col("mix_extra") - F.col("mix_before"), F.lit(0)), F.col("mix_n")).alias("mix_extra"))
+    plan = plan.where("mix_id is not null").withColumn("mix_slot", F.lit(0)).unionByName(unnamed).alias("p")
+    placed = keyed.withColumn("mix_place", F.row_number().over(W.partitionBy(*key, "mix_slot").orderBy("mix_draw"))).alias("d")
+    copies = F.when(F.col("d.mix_size") == 0, 1).otherwise(F.col("mix_base") + F.when(F.col("mix_place") <= F.col("mix_extra"), 1).otherwise(0))
     columns = [F.col(f"d.`{c}`") for c in docs.columns if c != "copies"]
-    return keyed.join(plan, same).select(*columns, copies.alias("copies")).where("copies > 0")
+    return placed.join(plan, same([*key, "mix_slot"])).select(*columns, copies.cast("int").alias("copies")).where("copies > 0")
