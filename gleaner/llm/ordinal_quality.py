@@ -90,7 +90,8 @@ def regress(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grade
 
 def fit(docs: DataFrame, grades: DataFrame, doc: str = "doc_id", text: str = "text", n_grades: int = 3, sample: int = 12_000,
         keep: int = 2_048, least_rows: int = 4, seed: int = 5) -> Model | None:
-    """Fits on at most ``sample`` rated documents, drawn by a hash of the id (the one bounded step; scoring covers all rows).
+    """Fits on at most ``sample`` rated documents, drawn by a hash of the id (the one bounded step; scoring covers all rows),
+    with one text each.
 
     ``grades`` holds (doc_id, grade) with grades from 0 to ``n_grades`` - 1. Buckets that tell the best grade from the others or
     the worst from the others most are chosen, ``keep`` of them at most; each chosen bucket has to occur in ``least_rows`` rated
@@ -102,13 +103,17 @@ def fit(docs: DataFrame, grades: DataFrame, doc: str = "doc_id", text: str = "te
         buckets = Buckets()
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"], "buckets": [features(t or "", buckets) for t in frame["text"]]})
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "grade": frame["grade"], "draw": frame["draw"],
+                                    "buckets": [features(t or "", buckets) for t in frame["text"]]})
 
     drawn = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(
         F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("draw"))
     # Bounded: `sample` rows of two numbers.
-    rated = materialise(texts.join(F.broadcast(drawn), "doc_id").mapInPandas(rows, "doc_id long, grade int, buckets array<long>"), "rated")
+    found = texts.join(F.broadcast(drawn), "doc_id").mapInPandas(rows, "doc_id long, grade int, draw long, buckets array<long>")
+    # An id may stand on many rows: one of its texts, that of the least hash, speaks for it.
+    rated = materialise(found.groupBy("doc_id", "grade").agg(F.min(F.struct("draw", "buckets")).alias("least")).select(
+        "doc_id", "grade", "least.buckets"), "rated")
     totals = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     n = sum(totals.values())
     if not n:
