@@ -77,15 +77,9 @@ def likely_jaccard(n: np.ndarray, other: np.ndarray, above: np.ndarray, below: n
     return (low + high) / 2
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The low 40 bits of each hash, sorted."""
-    return np.sort(shingles & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    """The sorted hashes of a set."""
+    return np.frombuffer(data, dtype="<u8")
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, percent: int, margin: float, block: int = 512) -> DataFrame:
@@ -128,7 +122,31 @@ def _verify(pairs: DataFrame, bodies: DataFrame, percent: int, margin: float, bl
     return rows.mapInPandas(checked, "a long, b long")
 
 
-def _across(open_bodies: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _dealt(tokens: DataFrame, block: int) -> DataFrame:
+    """Rows of grams that several components share, by the cells in which they meet: ``kind``, ``i``, ``j`` and ``side``.
+
+    A gram of up to ``block`` rows is one cell (side -1). Rows of a larger one's main component are dealt to cells of that size,
+    each of which all its other rows visit; those others meet each other by pairs of blocks. Sides differ for rows to be compared."""
+    per = tokens.groupBy("gram", "component").agg(F.count("*").alias("rows"))
+    shared = per.groupBy("gram").agg(
+        F.sum("rows").alias("all"), F.max("rows").alias("mains"), F.max_by("component", F.struct("rows", "component")).alias("main"),
+        F.count("*").alias("components")).where("components > 1")
+    own = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    mains, rest = blocks(F.col("mains")), blocks(F.col("all") - F.col("mains"))
+    cell = lambda kind, i, j, side: F.struct(
+        F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    nil = F.lit(0)
+    visits = F.transform(F.sequence(nil, mains - 1), lambda i: cell(1, i, nil, F.lit(1)))
+    among = F.transform(F.sequence(nil, rest - 1), lambda j: cell(
+        2, F.least(own(rest), j), F.greatest(own(rest), j), F.when(own(rest) == j, -1).when(own(rest) < j, 0).otherwise(1)))
+    cells = F.when(F.col("all") <= block, F.array(cell(0, nil, nil, F.lit(-1)))).when(
+        F.col("component") == F.col("main"), F.array(cell(1, own(mains), nil, nil))).otherwise(F.concat(visits, among))
+    return tokens.join(shared, "gram").select("gram", "id", "component", "n", "at", F.explode(cells).alias("cell")).select(
+        "gram", "cell.*", "id", "component", "n", "at")
+
+
+def _across(open_bodies: DataFrame, groups: DataFrame, percent: int, block: int = 4096) -> DataFrame:
     """Pairs (a, b) of different components that may reach the similarity, from documents of buckets that hold several components.
 
     Exact by prefix: with shingles ordered by rarity, two sets this similar share one among the first ones of each, with enough
@@ -155,26 +173,32 @@ def _across(open_bodies: DataFrame, groups: DataFrame, percent: int) -> DataFram
                 n = len(all_grams)
                 reach = n - -(-percent * n // 100) + 1
                 order = np.lexsort((all_grams, sent.value[(all_grams & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:reach]
-                parts.append(pd.DataFrame({"gram": all_grams[order].astype(np.int64), "id": i, "component": component, "n": n, "at": np.arange(len(order))}))
+                parts.append(pd.DataFrame({"gram": all_grams[order].view(np.int64), "id": i, "component": component, "n": n, "at": np.arange(len(order))}))
             if parts:
                 yield pd.concat(parts)
 
-    def crossing(ids, component, n, at):
-        main = np.unique(component, return_counts=True)
-        if len(main[0]) < 2:
-            return
-        for i in np.flatnonzero(component != main[0][main[1].argmax()]):
+    def crossing(ids, component, n, at, side):
+        if side[0] < 0:
+            main = np.unique(component, return_counts=True)
+            looked = component != main[0][main[1].argmax()]
+        else:
+            looked = side == 1
+        for i in np.flatnonzero(looked):
             left = 1 + np.minimum(n - at, n[i] - at[i]) - 1
             ok = (component != component[i]) & (left * (100 + percent) >= percent * (n + n[i])) & (
                 np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
+            if side[0] >= 0:
+                ok &= side == 0
             for j in np.flatnonzero(ok):
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
+    cell = ["gram", "kind", "i", "j"]
+
     def paired(frames):
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame])
-            cut = np.flatnonzero(np.diff(frame["gram"].to_numpy())) + 1
+            cut = np.flatnonzero(np.any(np.diff(frame[cell].to_numpy(np.int64), axis=0) != 0, axis=1)) + 1
             last = cut[-1] if len(cut) else 0
             held, frame = frame.iloc[last:], frame.iloc[:last]
             yield pairs_of(frame, cut[:-1])
@@ -183,14 +207,15 @@ def _across(open_bodies: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
     def pairs_of(frame, cut):
         out = set()
-        columns = [frame[c].to_numpy(np.int64) for c in ("id", "component", "n", "at")]
+        columns = [frame[c].to_numpy(np.int64) for c in ("id", "component", "n", "at", "side")]
         for start, end in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(frame)]])):
             if end - start > 1:
                 out.update(crossing(*(c[start:end] for c in columns)))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    tokens = open_bodies.join(groups, "id").mapInPandas(prefixes, "gram long, id long, component long, n long, at long")
-    return tokens.repartition("gram").sortWithinPartitions("gram").mapInPandas(paired, "a long, b long").distinct()
+    tokens = materialise(open_bodies.join(groups, "id").mapInPandas(
+        prefixes, "gram long, id long, component long, n long, at long"), "prefixes")
+    return _dealt(tokens, block).repartition(*cell).sortWithinPartitions(*cell).mapInPandas(paired, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80, bands: int = 32,
@@ -240,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
             sets = [s for s in sets if len(s)]
             if sets:
                 yield pd.DataFrame({"id": frame["doc_id"][keep], "n": [len(s) for s in sets], "regs": [registers(s, a, b).tobytes() for s in sets],
-                                    "grams": [packed(s) for s in sets]})
+                                    "grams": [s.astype("<u8").tobytes() for s in sets]})
 
     body = materialise(ids.where("doc_id is not null").mapInPandas(bodies, "id long, n long, regs binary, grams binary"), "bodies")
     nearest = members.where("id <> least").groupBy("id").agg(F.min("least").alias("a")).select("a", F.col("id").alias("b"))
