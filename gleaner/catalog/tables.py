@@ -327,19 +327,58 @@ def anomaly_summary(spark, folder):
     return anomalies.anomaly_summary(events(spark, folder), EVENT_MEASURES)
 
 
-@query("iforest_anomalies")
+# Fixed values of the forest: 200 trees on 256 rows each, of depth 8; the seed is 42.
+FOREST_SQL = """forest_rows as (select event_id, value::double as x0, user_id::double as x1, md5('42:' || event_id) as d, count(*) over () as n from events),
+trees as (select t, ('0x' || substr(md5('42:' || t), 1, 8))::bigint % 2147483646 + 1 as a, ('0x' || substr(md5('42:' || t), 9, 8))::bigint % 2147483647 as b from range(200) r(t)),
+pool as (select event_id, x0, x1, ('0x' || substr(d, 9, 8))::bigint % 2147483647 as h from forest_rows
+  where ('0x' || substr(d, 1, 8))::bigint < least(4294967296, ceil(1.2::double * least(n, 51200) / n * 4294967296))),
+drawn as (select t, event_id, x0, x1 from pool, trees qualify row_number() over (partition by t order by (h * a + b) % 2147483647, event_id) <= 256),
+grown(t, node, depth, x0, x1) as (
+ select t, 1::bigint, 0, x0, x1 from drawn
+ union all select t, case when case when f = 0 then x0 else x1 end <= case when f = 0 then l0 + (h0 - l0) * u else l1 + (h1 - l1) * u end then 2 * node else 2 * node + 1 end,
+  depth + 1, x0, x1 from (
+   select *, case when h0 > l0 and h1 > l1 then ('0x' || substr(m, 1, 8))::bigint % 2 when h0 > l0 then 0 else 1 end as f, ('0x' || substr(m, 9, 8))::bigint / 4294967296.0::double as u
+   from (select *, md5('42:' || t || ':' || node) as m, min(x0) over w as l0, max(x0) over w as h0, min(x1) over w as l1, max(x1) over w as h1
+         from grown where depth < 8 window w as (partition by t, node)) where h0 > l0 or h1 > l1)),
+sized as (select t, node, depth, count(*) as n, min(x0) as l0, max(x0) as h0, min(x1) as l1, max(x1) as h1, md5('42:' || t || ':' || node) as m from grown group by t, node, depth),
+chosen as (select *, depth < 8 and (h0 > l0 or h1 > l1) as inner_node, case when h0 > l0 and h1 > l1 then ('0x' || substr(m, 1, 8))::bigint % 2 when h0 > l0 then 0 else 1 end as f,
+  ('0x' || substr(m, 9, 8))::bigint / 4294967296.0::double as u from sized),
+nodes as materialized (select t, node, inner_node, f, case when f = 0 then l0 + (h0 - l0) * u else l1 + (h1 - l1) * u end as split,
+  depth * 1000000 + case when n <= 1 then 0 when n = 2 then 1000000 else round(1000000 * (2 * (ln(n - 1.0::double) + 0.5772156649015329::double) - 2 * (n - 1.0::double) / n))::bigint end as path
+  from chosen),
+walk(event_id, t, node, x0, x1) as (
+ select event_id, t, 1::bigint, x0, x1 from forest_rows, trees
+ union all select w.event_id, w.t, case when case when f = 0 then w.x0 else w.x1 end <= split then 2 * w.node else 2 * w.node + 1 end, w.x0, w.x1
+  from walk w join nodes using (t, node) where inner_node),
+totals as (select event_id, sum(path)::double as total from walk join nodes using (t, node) where not inner_node group by event_id),
+forest_scores as (select event_id, round(-pow(2::double, -total / (200 * round(1000000 * (2 * (ln(255.0::double) + 0.5772156649015329::double) - 2 * 255.0::double / 256)))), 12) as s from totals),
+cut as (select quantile_cont(s, 0.05) as c from forest_scores),
+judged as (select e.event_id, ts, event_type, value, case when event_type <> 'error' then value end as accepted, user_id, s - c < 0 as _isolation_anomaly, s - c as a
+  from events e join forest_scores using (event_id), cut)"""
+
+
+@query("iforest_anomalies", f"with recursive {FOREST_SQL} select * exclude (a), round(a, 9) as _anomaly_score from judged")
 def iforest_anomalies(spark, folder):
-    return isolation.flag_isolation(events(spark, folder), ["event_id"], ["value", "user_id"])
+    return isolation.flag_isolation(events(spark, folder), ["event_id"], ["value", "user_id"]).withColumn("_anomaly_score", F.round("_anomaly_score", 9))
 
 
-@query("anomaly_rows")
-def anomaly_rows(spark, folder):
+REPORT_SQL = f"""{EVENTS_SQL}, {FOREST_SQL},
+reported as (select j.*, coalesce(z_value > 3, false) or coalesce(z_user_id > 3, false) as _zscore_anomaly from judged j join (select event_id, z_value, z_user_id from scored) using (event_id)
+  where _isolation_anomaly or _zscore_anomaly order by _isolation_anomaly desc, a, event_id limit 100)"""
+
+
+def reported(spark, folder):
     return isolation.anomaly_rows(events(spark, folder), ["event_id"], ["value", "user_id"])
 
 
-@query("anomaly_points")
+@query("anomaly_rows", f"with recursive {REPORT_SQL} select * exclude (a), round(a, 9) as _anomaly_score from reported")
+def anomaly_rows(spark, folder):
+    return reported(spark, folder).withColumn("_anomaly_score", F.round("_anomaly_score", 9))
+
+
+@query("anomaly_points", f"with recursive {REPORT_SQL} select event_id, value as x, user_id as y, _isolation_anomaly as flagged, round(abs(a), 9) as size from reported")
 def anomaly_points(spark, folder):
-    return charts.anomaly_points(anomaly_rows(spark, folder), ["event_id"], "value", "user_id")
+    return charts.anomaly_points(reported(spark, folder), ["event_id"], "value", "user_id").withColumn("size", F.round("size", 9))
 
 
 HISTOGRAM_SQL = """with edges as (select min({c}) as lo, (max({c}) - min({c})) / {n} as w from {t}),
