@@ -375,3 +375,12 @@ def test_long_documents_are_summarised_in_the_same_two_steps(spark):
         picks += best(c, 2)
     assert found["chunks"] == len(chunks) == 90 and found["summary"] == " ".join(best(picks, 4))
     assert len(summaries.sentence_ranks(body * 7)) == 42_000
+
+
+def test_keywords_are_counted_in_tasks_of_bounded_texts(spark, monkeypatch):
+    # One task for each TASK_CHARS characters, whatever the session's shuffle partitions are.
+    docs = spark.createDataFrame([(i, f"Harbour cranes number {i} lift many heavy boxes. Old ships wait outside in long rows.") for i in range(64)], "doc_id long, text string")
+    monkeypatch.setattr(keywords, "TASK_CHARS", 100, raising=False)
+    for source in (docs, documents.prepare_documents(docs, "doc_id", "text")):
+        assert keywords._passages(source, "doc_id", "text", F.size("clean") < 2).rdd.getNumPartitions() >= 40
+    assert keywords.tfidf_keywords(docs, "doc_id", "text").where("rank = 1").count() == 64
