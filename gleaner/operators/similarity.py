@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions.columns import named
 from gleaner.functions.fixed import DESCRIPTION_OVERLAP
@@ -53,8 +54,92 @@ def _candidates(probes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             F.col("p.node").alias("better"), F.col("d.node").alias("worse")).distinct()
 
 
+def _marks(tokens: np.ndarray, places: int) -> np.ndarray:
+    """One bit for each place: whether an odd number of the tokens fall on it. Two sets differ in at least as many tokens as these in bits."""
+    return np.packbits(np.bincount((tokens & (places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little")
+
+
+@F.pandas_udf(T.BinaryType())
+def _signature(tokens: pd.Series) -> pd.Series:
+    """``_marks`` of each set on the power of two places that is 4 to 8 times its size, 64 at least."""
+    sets = [np.asarray(t, dtype=np.int64) for t in tokens]
+    return pd.Series([_marks(t, max(64, 1 << (4 * len(t) - 1).bit_length())).tobytes() for t in sets], dtype=object)
+
+
+class _Signatures:
+    """The signatures of one side of a cell by node: a matrix for each length, which also holds the next longer ones folded in half."""
+
+    def __init__(self, nodes: list[np.ndarray], sizes: list[np.ndarray], bits: list[bytes]):
+        nodes, sizes = np.concatenate(nodes), np.concatenate(sizes)
+        order = np.argsort(nodes)
+        self.nodes, self.sizes = nodes[order], sizes[order]
+        widths = np.array([len(b) for b in bits], dtype=np.int64)
+        self.widths, self.at, self.rows = widths[order], {}, {}
+        for w in np.unique(np.concatenate([widths, np.maximum(widths // 2, 8)])).tolist():
+            own, longer = np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)
+            whole = lambda which, n: np.frombuffer(b"".join(bits[i] for i in which), dtype=np.uint64).reshape(len(which), n // 8)
+            long = whole(longer, 2 * w)
+            self.rows[w] = np.concatenate([whole(own, w), long[:, :w // 8] ^ long[:, w // 8:]])
+            place = np.full(len(nodes), -1)
+            place[own], place[longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
+            self.at[w] = place[order]
+
+
+def _may_link(better: _Signatures, worse: _Signatures, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the signatures leave room for an overlap of more than ``percent`` % of the larger set: no linked pair is refused."""
+    i, j = np.searchsorted(better.nodes, a), np.searchsorted(worse.nodes, b)
+    width = np.minimum(better.widths[i], worse.widths[j])
+    differing = np.zeros(len(a), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        of = np.flatnonzero(width == w)
+        # Sizes of candidates are too near for signatures of more than twice the length; where they are not, nothing is refused.
+        of = of[(better.widths[i[of]] <= 2 * w) & (worse.widths[j[of]] <= 2 * w)]
+        if len(of):
+            x, y = better.rows[w][better.at[w][i[of]]], worse.rows[w][worse.at[w][j[of]]]
+            differing[of] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    n, m = better.sizes[i], worse.sizes[j]
+    return 50 * (n + m - differing) > percent * np.maximum(n, m)
+
+
+#: Blocks that nodes are dealt to, and nodes in one block: a cell checks the pairs of two blocks and holds their signatures only.
+BLOCKS, BLOCK = 8, 200_000
+
+
+def _promising(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures leave room for enough overlap. A pair travels as two numbers to the cell of its blocks, where the
+    signatures of both blocks are; a signature is a fortieth to an eightieth of its set in size and goes to the cells of its block."""
+    blocks = max(BLOCKS, -(-signatures.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.array(
+        F.struct((F.col("block") * blocks + k).alias("cell"), F.lit(0).alias("kind")), F.struct((k * blocks + F.col("block")).alias("cell"), F.lit(1).alias("kind"))))))
+    sides = signatures.withColumn("block", block("node")).select(cells.alias("to"), F.col("node").alias("better"), F.col("n").cast("long").alias("worse"), "bits") \
+        .select("to.cell", "to.kind", "better", "worse", "bits")
+    asked = pairs.select((block("better") * blocks + block("worse")).alias("cell"), F.lit(2).alias("kind"), "better", "worse", F.lit(None).cast("binary").alias("bits"))
+    cores = sides.sparkSession.sparkContext.defaultParallelism
+
+    def checked(frames):
+        cell, held, ready = None, None, None
+        for frame in frames:
+            for (at, kind), rows in frame.groupby(["cell", "kind"], sort=True):
+                if at != cell:
+                    cell, held, ready = at, {0: ([], [], []), 1: ([], [], [])}, None
+                if kind < 2:
+                    for to, c in zip(held[kind], ("better", "worse")):
+                        to.append(rows[c].to_numpy(np.int64))
+                    held[kind][2].extend(rows["bits"])
+                else:
+                    if ready is None:
+                        ready, held = [_Signatures(*held[k]) for k in (0, 1)], None
+                    a, b = rows["better"].to_numpy(np.int64), rows["worse"].to_numpy(np.int64)
+                    stay = _may_link(*ready, a, b, percent)
+                    yield pd.DataFrame({"better": a[stay], "worse": b[stay]})
+
+    return sides.unionByName(asked).repartition(max(cores, blocks * blocks), "cell").sortWithinPartitions("cell", "kind").mapInPandas(checked, "better long, worse long")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose overlap is more than ``percent`` % of the larger set."""
+    """The pairs whose overlap is more than ``percent`` % of the larger set. Whole sets are only joined to the promising ones."""
+    pairs = materialise(_promising(pairs, nodes.select("node", F.size("tokens").alias("n"), "bits"), percent), "promising")
     sets = lambda side: nodes.select(F.col("node").alias(side), F.col("tokens").alias(f"{side}_tokens"))
     both = pairs.join(sets("better"), "better").join(sets("worse"), "worse")
     shared = F.size(F.array_intersect("better_tokens", "worse_tokens"))
@@ -95,11 +180,15 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sc
     words = distinct_words(F.coalesce(named(text).cast("string"), F.lit("")))
     order = -F.coalesce(named(score).cast("double"), F.lit(float("-inf"))) if score else F.lit(0.0)
     rows = docs.select(named(doc).alias("doc_id"), order.alias("order"), F.array_sort(words).alias("words")).select(
-        "doc_id", "order", F.size("words").cast("long").alias("n_words"), F.unhex(F.md5(F.array_join("words", " "))).alias("node"),
+        "doc_id", "order", F.size("words").cast("long").alias("n_words"), F.unhex(F.md5(F.array_join("words", " "))).alias("same"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
-    nodes = materialise(rows.where("n_words > 0").groupBy("node").agg(
+    distinct = rows.where("n_words > 0").groupBy("same").agg(
         F.min(F.struct("order", "doc_id")).alias("first"), F.any_value("tokens").alias("tokens")).select(
-            "node", F.struct("first.order", "first.doc_id", "node").alias("best"), "tokens"), "nodes")
+            "same", F.struct("first.order", "first.doc_id", "same").alias("best"), "tokens")
+    # Numbers that rise from the best node to the worst: ranges in order, and the rows of each in order.
+    nodes = materialise(distinct.repartitionByRange("best").sortWithinPartitions("best").select(
+        F.monotonically_increasing_id().alias("node"), "same", F.col("best").alias("first"), "tokens", _signature("tokens").alias("bits")), "nodes") \
+        .withColumn("best", F.col("node"))
     prefixes = materialise(_prefixes(nodes, percent), "prefixes")
     live, verdicts = prefixes, []
     while True:
@@ -119,9 +208,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sc
         live, lead = materialise(live, "live"), lead * GROWTH
         if live.isEmpty():
             break
-    kept = nodes.select("node", "best").limit(0)
+    kept = nodes.select("same", "first").limit(0)
     for verdict in verdicts:
-        kept = kept.unionByName(nodes.join(verdict.where("stays"), "node", "left_semi").select("node", "best"))
-    best = F.col("best.order").eqNullSafe(F.col("order")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))
-    return rows.drop("tokens").join(kept, "node", "left").select(
-        "doc_id", "n_words", ((F.col("n_words") == 0) | (F.col("best").isNotNull() & best)).alias("kept"))
+        kept = kept.unionByName(nodes.join(verdict.where("stays"), "node", "left_semi").select("same", "first"))
+    best = F.col("first.order").eqNullSafe(F.col("order")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    return rows.drop("tokens").join(kept, "same", "left").select(
+        "doc_id", "n_words", ((F.col("n_words") == 0) | (F.col("first").isNotNull() & best)).alias("kept"))

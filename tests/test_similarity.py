@@ -78,3 +78,17 @@ def test_a_passage_in_a_third_of_all_texts_is_not_compared_pair_by_pair(spark):
     assert similarity._candidates(probes, prefixes, 55).count() <= 8 * 20 * 1000
     assert "WindowGroupLimit" in probes._jdf.queryExecution().toString()
     assert found(spark, rows, lead=8) == greedy(rows)
+
+
+def test_whole_sets_are_joined_to_promising_pairs_only(spark):
+    """Texts of one small vocabulary are all candidates of each other; signatures refuse most of them and none that is linked."""
+    rng = random.Random(5)
+    sets = [rng.sample(range(3000), rng.randrange(100, 400)) for _ in range(60)] + [rng.sample(range(3000), 3) for _ in range(20)]
+    sets += [rng.sample(s, len(s) * 9 // 10) for s in sets[:30]]
+    rows = [(i, [hash((w, "word")) for w in s]) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, tokens array<long>").withColumn("bits", similarity._signature("tokens"))
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))], "better long, worse long")
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len({*sets[i]} & {*sets[j]}) > 55 * max(len(sets[i]), len(sets[j]))}
+    promising = {(r[0], r[1]) for r in similarity._promising(pairs, nodes.select("node", F.size("tokens").alias("n"), "bits"), 55).collect()}
+    assert linked <= promising and len(promising) < len(linked) + 600
+    assert {(r[0], r[1]) for r in similarity._links(pairs, nodes, 55).collect()} == linked
