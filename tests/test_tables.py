@@ -432,3 +432,9 @@ def test_order_of_day_and_month_is_decided_by_the_column(spark):
     assert found[0] == [day(2024, 12, 31), day(2025, 1, 15), day(2025, 3, 2), None] and found[1] == [day(2024, 12, 31), day(2025, 1, 15), day(2025, 2, 3), None]
     assert found[2] == [day(2024, 1, 2), day(2025, 3, 4), day(2025, 5, 6), None] and found[3][:3] == [day(2024, 12, 31, 7, 5), day(2025, 2, 1, 23, 59, 58), day(2025, 3, 2)]
     assert found[4] == [day(2024, 1, 13), None, day(2024, 2, 14), day(2024, 3, 15)]
+
+
+def test_a_cell_is_trimmed_once_for_all_timestamp_shapes(spark):
+    plan = spark.createDataFrame([("2024-05-01T10:00:00Z",)], "t string").select(schema.parse_timestamp(F.col("t")).alias("t"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 25
+    assert str(plan.first()["t"]) == "2024-05-01 10:00:00"
