@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import labels
 from gleaner.functions import text as text_functions
-from gleaner.operators import documents, fusion, keywords, matching, ranking, summaries
+from gleaner.operators import documents, fusion, joined, keywords, matching, ranking, summaries
 from gleaner.plans.links import global_ranking, link_findings
 from gleaner.plans.tables import analyse_table
 from gleaner.plans.texts import analyse_corpus, analyse_documents
@@ -384,3 +385,40 @@ def test_keywords_are_counted_in_tasks_of_bounded_texts(spark, monkeypatch):
     for source in (docs, documents.prepare_documents(docs, "doc_id", "text")):
         assert keywords._passages(source, "doc_id", "text", F.size("clean") < 2).rdd.getNumPartitions() >= 40
     assert keywords.tfidf_keywords(docs, "doc_id", "text").where("rank = 1").count() == 64
+
+
+def test_a_usual_chunk_is_ranked_by_a_matrix_as_without_one(spark, monkeypatch):
+    rng = random.Random(3)
+    sentences = [" ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) + rng.choice(["", "x", "-y'z"]) for _ in range(rng.randrange(1, 25))) for _ in range(40)]
+    small = summaries.sentence_ranks(sentences)
+    assert summaries.SentenceGraph(sentences).matrix is not None
+    monkeypatch.setattr(summaries, "SMALL", 0)
+    assert summaries.SentenceGraph(sentences).matrix is None
+    assert np.allclose(small, summaries.sentence_ranks(sentences), atol=1e-12)
+
+
+def test_corpus_statistics_split_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"Text number {i} says   little.\nIt goes on") for i in range(20)], "doc_id long, text string")
+    # What range bounds are drawn from is already split and written.
+    assert "split(" not in joined._parts(docs, "doc_id", "text", 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.corpus_stats(docs, "doc_id", "text").first()["word_count"] == 160
+
+
+def test_terms_of_a_passage_are_not_compared_pair_by_pair_where_none_repeats(spark):
+    letters = "bcdfghjklm"
+    word = lambda i: "".join(letters[int(d)] for d in f"{i:06d}")
+    passages = spark.createDataFrame([(1, [" ".join(map(word, range(20_000)))]), (2, ["blue ship blue ship sails"])], "doc_id long, passages array<string>")
+    began = time.time()
+    found = {r["doc_id"]: dict(r["terms"]) for r in keywords._passage_terms(passages, "doc_id", []).collect()}
+    assert time.time() - began < 20
+    assert len(found[1]) == 39_999 and set(found[1].values()) == {1}
+    assert found[2] == {"blue": 2, "ship": 2, "sails": 1, "blue ship": 2, "ship blue": 1, "ship sails": 1}
+
+
+@pytest.mark.parametrize("text", ["one two three four", "one two three four five", " one two three four", "one  two\t\nthree four five ", "1 2 3 4 5 6", "", None, "   a b c"])
+def test_prose_needs_as_many_words_as_pieces(spark, text):
+    t = F.col("t")
+    pieces = F.size(F.split(t, f"{text_functions.SPACE}+"))
+    letters = F.length(F.regexp_replace(t, r"\P{L}+", "")) / F.greatest(F.length(t), F.lit(1))
+    found = one(spark, text, text_functions.is_prose(t), (t != "") & (pieces >= 5) & (letters >= 0.6))
+    assert bool(found[0]) == bool(found[1])
