@@ -92,3 +92,46 @@ def test_whole_sets_are_joined_to_promising_pairs_only(spark):
     promising = {(r[0], r[1]) for r in similarity._promising(pairs, nodes.select("node", F.size("tokens").alias("n"), "bits"), 55).collect()}
     assert linked <= promising and len(promising) < len(linked) + 600
     assert {(r[0], r[1]) for r in similarity._links(pairs, nodes, 55).collect()} == linked
+
+
+def test_blocks_meet_without_a_shuffle_of_pairs_or_sets(spark, monkeypatch):
+    """Many small blocks give the links of the plain form, and neither pairs nor sets are dealt out by a key."""
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(similarity, "BLOCK_WORDS", 300)
+    rows = corpus(4, 150)
+    assert found(spark, rows, lead=2) == greedy(rows)
+    nodes = spark.createDataFrame(rows, "doc_id long, text string, score double").select(
+        F.col("doc_id").alias("node"), F.col("doc_id").alias("best"), F.transform(similarity.distinct_words(F.col("text")), lambda w: F.xxhash64(w)).alias("tokens")) \
+        .withColumn("bits", similarity._signature("tokens")).localCheckpoint()
+    wanted = similarity._field(nodes, 150)
+    blocks = similarity.materialise(similarity._packed(nodes, spark.sparkContext.broadcast(similarity._rarity(nodes)), 55, wanted), "blocks")
+    assert blocks.count() > 9
+    linked = similarity._pairs(blocks, blocks, F.col("one_block") <= F.col("two_block"), 55, (wanted, wanted))
+    assert "hashpartitioning" not in linked._jdf.queryExecution().executedPlan().toString()
+    prefixes = similarity._prefixes(nodes, 55)
+    plain = {(r[0], r[1]) for r in similarity._links(similarity._candidates(prefixes, prefixes, 55), nodes, 55).collect()}
+    assert plain and {tuple(sorted(r)) for r in linked.collect()} == plain
+
+
+def test_hits_of_common_words_are_taken_piece_by_piece(monkeypatch):
+    rng = random.Random(9)
+    sets = [similarity.np.array(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(70)]
+    rarity = type("Sent", (), {"value": similarity.np.bincount(similarity.np.concatenate(sets), minlength=similarity.COUNTERS)})
+    made = {}
+
+    class Sets:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            made["row"] = next(iter(f([similarity.pd.DataFrame({"node": range(70), "tokens": sets})]))).to_dict("records")[0]
+
+    similarity._packed(Sets(), rarity, 55, type("Sent", (), {"value": b"\xff" * 9}))
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if 100 * len({*sets[i]} & {*sets[j]}) > 55 * max(len(sets[i]), len(sets[j]))}
+    for hits in (1, 7, 1_000_000):
+        monkeypatch.setattr(similarity, "HITS", hits)
+        block = similarity._Block(made["row"], 55, b"\xff" * 9)
+        assert {*zip(*(x.tolist() for x in similarity._linked(block, block, 55)))} == want
+    # Texts that are gone take no part.
+    block = similarity._Block(made["row"], 55, b"\x0f" + bytes(8))
+    assert {*zip(*(x.tolist() for x in similarity._linked(block, block, 55)))} == {(i, j) for i, j in want if j < 4}
