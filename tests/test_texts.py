@@ -422,3 +422,29 @@ def test_prose_needs_as_many_words_as_pieces(spark, text):
     letters = F.length(F.regexp_replace(t, r"\P{L}+", "")) / F.greatest(F.length(t), F.lit(1))
     found = one(spark, text, text_functions.is_prose(t), (t != "") & (pieces >= 5) & (letters >= 0.6))
     assert bool(found[0]) == bool(found[1])
+
+
+def test_prepared_documents_write_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "Four words are here. Here are many more words than four! 1 2 3 4 5 6 7.\n\n\n\nAnd so it goes on. "), (2, ""), (3, None)], "doc_id long, text string")
+    ready = documents.prepare_documents(docs, "doc_id", "text")
+    written = spark.read.parquet(*ready.inputFiles())
+    assert {t for _, t in written.dtypes} == {"bigint", "string", "array<boolean>"}
+    plain = docs.select("doc_id", text_functions.compact_text(F.col("text")).alias("text"), text_functions.clean_sentences(F.col("text")).alias(documents.SENTENCES))
+    assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, plain.collect()))
+    assert ready.where("doc_id = 1").first()[documents.SENTENCES] == ["Here are many more words than four!", "And so it goes on."]
+
+
+def test_long_steps_of_an_analysis_are_queries_of_their_own(spark):
+    """What reads all texts or runs Python is written before the last joins, and its shuffle files are gone by then."""
+    shuffled = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    docs = spark.createDataFrame([(i, prose(12, i) + " The value is rising and the user id was higher for Ada Lovelace again.") for i in range(8)], "doc_id long, text string")
+    events = spark.createDataFrame([(i, f"2024-01-{i % 28 + 1:02d}", float(i * i), i % 7) for i in range(60)], "event_id long, ts string, value double, user_id long")
+    text = analyse_documents(docs, "doc_id", "text")
+    links = link_findings(analyse_table(events, ["event_id"], forest=False), text)
+    before = shuffled()
+    frames = [text.insights, links.matches, links.signals]
+    assert shuffled() <= before
+    for frame in frames:
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "split(" not in plan
+        assert frame.count() > 0
