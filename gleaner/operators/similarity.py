@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sc
     as soon as no better neighbour of it is undecided, so a round decides all texts at once that don't depend on each other.
 
     Texts of equal word sets are one node, which stands for its best text. Candidates share a word among the rarest ones of each,
-    and are looked for between blocks of whole sets that meet in memory: pairs and sets are never shuffled, only links are.
+    and are looked for between blocks of whole sets that meet in memory: pairs are never shuffled, and of sets only those of leading texts.
     In each round the ``lead`` best nodes that are left are compared with all others, so a common passage doesn't give all pairs of its
     texts: once one of them is kept, the others are gone. Each round has a greater lead, the last one all nodes.
 
